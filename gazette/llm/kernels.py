@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -98,8 +99,8 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _ALNUM = np.zeros(256, dtype=bool)
 _ALNUM[0x30:0x3A] = _ALNUM[0x61:0x7B] = _ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -112,7 +113,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, alnum: bool = False) -> t
 
     Words are runs without ASCII white space, or with ``alnum`` runs of digits, a-z and non-ASCII bytes. A run ends with its text.
     """
-    inside = _ALNUM[data] if alnum else ~_SPACE[data]
+    inside = _ALNUM[data] if alnum else ~SPACE[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     firsts = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -130,3 +131,60 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndar
     if not len(begin):
         return np.zeros(0, dtype=np.uint64)
     return mix64(RangeHash(_BYTE[data]).of(begin, end) + (end - begin).astype(np.uint64))
+
+
+_X1, _X2, _X3, _X4, _X5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotl(x: np.ndarray, r: int) -> np.ndarray:
+    return (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+
+
+def _round(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    return _rotl(acc + lane * _X2, 31) * _X1
+
+
+def xxh64_slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of many byte slices at once; slices of 64 bytes or more go to the library one by one."""
+    raw = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw.data, strides=(1,))
+    halves = np.ndarray((len(raw) - 3,), dtype="<u4", buffer=raw.data, strides=(1,))
+    length = end - begin
+    s = np.uint64(seed)
+    h = np.full(len(begin), s + _X5, dtype=np.uint64)
+    at = begin.copy()
+    striped = np.flatnonzero((length >= 32) & (length < 64))
+    if len(striped):
+        p = begin[striped]
+        with np.errstate(over="ignore"):
+            v = [_round(np.full(len(p), x, dtype=np.uint64), words[p + 8 * i]) for i, x in enumerate((s + _X1 + _X2, s + _X2, s, s - _X1))]
+        acc = _rotl(v[0], 1) + _rotl(v[1], 7) + _rotl(v[2], 12) + _rotl(v[3], 18)
+        for x in v:
+            acc = (acc ^ _round(np.zeros(len(p), dtype=np.uint64), x)) * _X1 + _X4
+        h[striped] = acc
+        at[striped] += 32
+    h += length.astype(np.uint64)
+    short = length < 64
+    for _ in range(3):
+        i = np.flatnonzero(short & (end - at >= 8))
+        if not len(i):
+            break
+        h[i] = _rotl(h[i] ^ _round(np.zeros(len(i), dtype=np.uint64), words[at[i]]), 27) * _X1 + _X4
+        at[i] += 8
+    i = np.flatnonzero(short & (end - at >= 4))
+    h[i] = _rotl(h[i] ^ (halves[at[i]].astype(np.uint64) * _X1), 23) * _X2 + _X3
+    at[i] += 4
+    for _ in range(3):
+        i = np.flatnonzero(short & (end > at))
+        h[i] = _rotl(h[i] ^ (raw[at[i]].astype(np.uint64) * _X5), 11) * _X1
+        at[i] += 1
+    h ^= h >> np.uint64(33)
+    h *= _X2
+    h ^= h >> np.uint64(29)
+    h *= _X3
+    h ^= h >> np.uint64(32)
+    long = np.flatnonzero(~short)
+    if len(long):
+        text = data.tobytes()
+        h[long] = [xxhash.xxh64_intdigest(text[a:b], seed) for a, b in zip(begin[long].tolist(), end[long].tolist())]
+    return h
