@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import op2_suffix_dedup, op5_substring_dedup, op7_simhash
+from gazette.llm import op2_suffix_dedup, op5_substring_dedup, op7_simhash, op10_decontamination
 
-_MODULES = (op2_suffix_dedup, op5_substring_dedup, op7_simhash)
+_MODULES = (op2_suffix_dedup, op5_substring_dedup, op7_simhash, op10_decontamination)
 
 
 def _name(module) -> str:
