@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gazette.llm import op1_warc, op2_suffix_dedup, op4_url_filter, op5_substring_dedup, op6_host_rules, op7_simhash, op9_quality_classifier, op10_decontamination
+from gazette.llm import op1_warc, op2_suffix_dedup, op3_bpe, op4_url_filter, op5_substring_dedup, op6_host_rules, op7_simhash, op8_token_files, op9_quality_classifier, op10_decontamination
 
-_MODULES = (op1_warc, op2_suffix_dedup, op4_url_filter, op5_substring_dedup, op6_host_rules, op7_simhash, op9_quality_classifier, op10_decontamination)
+_MODULES = (op1_warc, op2_suffix_dedup, op3_bpe, op4_url_filter, op5_substring_dedup, op6_host_rules, op7_simhash, op8_token_files, op9_quality_classifier, op10_decontamination)
 
 
 def _name(module) -> str:
