@@ -22,7 +22,7 @@ from gazette.llm.op2_suffix_dedup import run_list
 from gazette.llm.repeats import Unit, covered, keyed, per_text, repeated
 
 WINDOW = 20
-ANCHOR = 8
+ANCHOR = 5
 _OUT = "doc_id long, n_words long, n_removed long, intervals array<struct<begin: long, end: long>>, kept string, text string"
 
 

@@ -8,8 +8,9 @@ group that is settled leaves early:
    (W - k) / 2 tokens. Windows of a span whose anchor occurs once in the corpus are unique.
 2. *Span pass.* Spans with equal anchor and equal content: all their windows repeat together. Spark counts (anchor, content) with
    partial aggregation, so that groups of copies of any size become one row for each task.
-3. *Window pass.* Only where one anchor has several contents, one representative for each content is told apart window by window:
-   inside a task for up to ``GROUP`` contents, else as rows that Spark counts.
+3. *Window pass.* Only where one anchor has several contents, one representative for each content is told apart window by window,
+   inside a task for up to ``GROUP`` contents. Larger groups go through the first two passes again with longer anchors, up to the
+   whole window, where every group is settled by its count.
 
 Hashes are 64-bit Rabin-Karp range hashes; a verdict needs two of them (anchor and content) to agree.
 """
@@ -20,13 +21,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gazette.llm.common import stored
+from gazette.llm.common import dropped, stored
 from gazette.llm.kernels import RangeHash, chunks, mix64, sliding_min, string_buffers, word_bounds, word_hashes
 
-#: Contents of one anchor that one task compares; more are counted by Spark, row by row.
+#: Contents of one anchor that one task compares; larger groups are told apart by longer anchors first.
 GROUP = 64
 #: Tokens hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 21
@@ -43,9 +44,11 @@ class Unit:
         if name == "bytes" and anchor < _GRAM:
             raise ValueError(f"byte anchors have {_GRAM} bytes at least")
         self.name, self.window, self.anchor = name, window, anchor
+        rest = window - anchor
+        self.deeper = sorted({window - rest * share // 100 for share in (48, 16, 0)} - {anchor}) or [window]
         # Bytes are hashed as overlapping 8-byte grams: a window of W bytes is W - 7 grams.
         less = _GRAM - 1 if name == "bytes" else 0
-        self.values_in_window, self.values_in_anchor = window - less, anchor - less
+        self.less, self.values_in_window, self.values_in_anchor = less, window - less, anchor - less
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Callable[[int, int], np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
         if self.name == "bytes":
@@ -63,7 +66,7 @@ def grams(data: np.ndarray) -> np.ndarray:
     return mix64(np.ndarray((len(raw) - _GRAM + 1,), dtype="<u8", buffer=raw.data, strides=(1,)).astype(np.uint64))
 
 
-def _pieces(unit: Unit, get: Callable, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, RangeHash, int]]:
+def _pieces(unit: Unit, get: Callable, starts: np.ndarray, anchor: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, RangeHash, int]]:
     """For each piece of the chunk: text number, first and last window start (within the piece), anchor hash, hashes, offset."""
     total = int(starts[-1])
     for base in range(0, total, PIECE):
@@ -71,9 +74,9 @@ def _pieces(unit: Unit, get: Callable, starts: np.ndarray) -> Iterator[tuple[np.
         if len(values) < unit.values_in_window:
             continue
         hashes = RangeHash(values)
-        anchors = hashes.windows(unit.values_in_anchor)
+        anchors = hashes.windows(anchor - unit.less)
         ranked = (anchors & ~_POSITION) | np.arange(len(anchors), dtype=np.uint64)
-        least = sliding_min(ranked, unit.values_in_window - unit.values_in_anchor + 1)[:PIECE]
+        least = sliding_min(ranked, unit.window - anchor + 1)[:PIECE]
         start = np.arange(len(least))
         text = np.searchsorted(starts, start + base, side="right") - 1
         whole = start + base + unit.window <= starts[text + 1]
@@ -87,7 +90,8 @@ def _pieces(unit: Unit, get: Callable, starts: np.ndarray) -> Iterator[tuple[np.
         yield text[first], start[first], start[last], anchors[at[first]], hashes, base
 
 
-_SPANS = "d long, t long, a long, s long, lo long, hi long"
+_SPANS = "d long, t int, a long, s long, lo long, hi long"
+_RUNS = "d long, t int, lo long, hi long"
 
 
 def _as_table(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
@@ -108,7 +112,7 @@ def _spans(unit: Unit) -> Callable:
             for first, last in chunks(offsets):
                 own = offsets[first : last + 1] - offsets[first]
                 get, starts, _, _ = unit.cut(data[offsets[first] : offsets[last]], own)
-                for text, lo, hi, anchor, hashes, base in _pieces(unit, get, starts):
+                for text, lo, hi, anchor, hashes, base in _pieces(unit, get, starts, unit.anchor):
                     content = hashes.of(lo, hi + unit.values_in_window)
                     row = pa.array(text + first)
                     shift = base - starts[text]
@@ -245,14 +249,25 @@ def _resolve(unit: Unit, keep_first: bool, passes: int) -> Callable:
     return run
 
 
-def _rows(unit: Unit) -> Callable:
+def _finer(unit: Unit, anchor: int) -> Callable:
+    """Cuts span contents into the spans of a longer anchor."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            anchor = batch.column("a").to_numpy().view(np.uint64)
-            for row, start, hashes, place in _windows(unit, batch):
-                at = pa.array(row)
-                key = hashes.of(place, place + unit.values_in_window)
-                yield _as_table({"a": batch.column("a").take(at), "w": mix64(key ^ anchor[row]).view(np.int64), "d": batch.column("d").take(at), "t": batch.column("t").take(at), "start": start})
+            offsets, data = string_buffers(batch.column("content"))
+            outer, base_lo = batch.column("a").to_numpy().view(np.uint64), batch.column("lo").to_numpy()
+            for first, last in chunks(offsets):
+                own = offsets[first : last + 1] - offsets[first]
+                part = data[offsets[first] : offsets[last]]
+                get, starts, begin, end = unit.cut(part, own)
+                raw = part.tobytes()
+                for text, lo, hi, inner, hashes, base in _pieces(unit, get, starts, anchor):
+                    row = pa.array(text + first)
+                    left, right = begin[base + lo], end[base + hi + unit.window - 1]
+                    shift = base - starts[text] + base_lo[text + first]
+                    columns = {"d": batch.column("d").take(row), "t": batch.column("t").take(row), "a": mix64(inner ^ outer[text + first]).view(np.int64)}
+                    columns |= {"s": hashes.of(lo, hi + unit.values_in_window).view(np.int64), "lo": lo + shift, "hi": hi + shift}
+                    yield _as_table(columns | {"content": pa.array([raw[x:y] for x, y in zip(left.tolist(), right.tolist())], type=pa.binary())})
 
     return run
 
@@ -260,15 +275,7 @@ def _rows(unit: Unit) -> Callable:
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(d, t, text): id, hash of the text, and the text with null as empty. d and t name a row; rows equal in both share verdicts."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-
-
-def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
-    """Null-safe equality on columns of both sides."""
-    on = None
-    for name in names:
-        on = left[name].eqNullSafe(right[name]) if on is None else on & left[name].eqNullSafe(right[name])
-    return on
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.hash(text).alias("t"), text.alias("text"))
 
 
 def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, group: int = GROUP) -> DataFrame:
@@ -278,34 +285,43 @@ def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, gr
     Runs of a text may touch or overlap.
     """
     spans = stored(texts.mapInArrow(_spans(unit), _SPANS), "spans")
-    pairs = spans.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "lo", "t", "hi")).alias("first"))
-    anchors = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total")).filter("total > 1")
-    known = stored(pairs.join(anchors.drop("total"), "a"), "known")
-
+    _, known, members = _counted(spans, keep_first)
+    several = known.filter("contents > 1").select("first.d", "first.t", F.struct("a", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi")).alias("x"))
+    wanted = several.groupBy("d", "t").agg(F.collect_list("x").alias("wanted")).withColumnsRenamed({"d": "wd", "t": "wt"})
+    held = texts.join(wanted, F.col("d").eqNullSafe(F.col("wd")) & (F.col("t") == F.col("wt"))).drop("wd", "wt")
+    contents = stored(held.mapInArrow(_contents(unit), "d long, t int, a long, lo long, hi long, content binary"), "contents")
+    runs = members
+    for anchor in unit.deeper:
+        large = known.filter(F.col("contents") > group).select("a").distinct()
+        few = contents.join(large, "a", "left_anti")
+        runs = runs.unionByName(few.repartition("a").sortWithinPartitions("a").mapInArrow(_resolve(unit, keep_first, passes), _RUNS))
+        if large.isEmpty():
+            return runs
+        many = contents.join(large, "a", "left_semi")
+        finer = stored(many.mapInArrow(_finer(unit, anchor), _SPANS + ", content binary"), "finer")
+        finer, known, members = _counted(finer, keep_first)
+        runs = runs.unionByName(members)
+        first = known.filter("contents > 1").select("a", "s", F.col("first.d").alias("d0"), F.col("first.lo").alias("lo0"))
+        contents = finer.join(first, ["a", "s"]).filter(F.col("d").eqNullSafe(F.col("d0")) & (F.col("lo") == F.col("lo0")))
+        contents = stored(contents.select("d", "t", "a", "lo", "hi", "content"), "contents")
+    return runs
+
+
+def _counted(spans: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans whose anchor occurs more than once; their (anchor, content) pairs with the first places; the runs of copied spans.
+
+    The first counts move two hashes a row; places and contents move only for anchors that recur.
+    """
+    anchors = spans.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total"))
+    hits = stored(spans.join(anchors.filter("total > 1").drop("total"), "a"), "hits")
+    dropped(spans)
+    known = hits.groupBy("a", "s", "contents").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "lo", "t", "hi")).alias("first"))
+    known = stored(known, "known")
     copies = known.filter("n > 1").select("a", "s", F.col("first.d").alias("d0"), F.col("first.lo").alias("lo0"))
-    members = spans.join(copies, ["a", "s"])
+    members = hits.join(copies, ["a", "s"])
     if keep_first:
         members = members.filter(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("lo") == F.col("lo0"))))
-    members = members.select("d", "t", "lo", "hi")
-
-    several = known.filter("contents > 1").select("first.d", "first.t", F.struct("a", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi"), "contents").alias("x"))
-    wanted = several.groupBy("d", "t").agg(F.collect_list("x").alias("wanted"))
-    found = texts.join(wanted.withColumnsRenamed({"d": "wd", "t": "wt"}), F.col("d").eqNullSafe(F.col("wd")) & (F.col("t") == F.col("wt"))).drop("wd", "wt")
-    schema = "d long, t long, a long, lo long, hi long, content binary"
-    contents = found.mapInArrow(_contents(unit), schema)
-    large = known.filter(F.col("contents") > group).select("a").distinct()
-    contents = stored(contents, "contents")
-    few = contents.join(large, "a", "left_anti")
-    many = contents.join(large, "a", "left_semi")
-    settled = few.repartition("a").sortWithinPartitions("a").mapInArrow(_resolve(unit, keep_first, passes), "d long, t long, lo long, hi long")
-    rows = many.mapInArrow(_rows(unit), "a long, w long, d long, t long, start long")
-    counted = rows.groupBy("a", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "start")).alias("first")).filter("n > 1")
-    counted = counted.select("a", "w", F.col("first.d").alias("d0"), F.col("first.start").alias("start0"))
-    again = rows.join(counted, ["a", "w"])
-    if keep_first:
-        again = again.filter(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("start") == F.col("start0"))))
-    again = again.select("d", "t", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    return members.unionByName(settled).unionByName(again)
+    return hits, known, members.select("d", "t", "lo", "hi")
 
 
 def per_text(texts: DataFrame, runs: DataFrame) -> DataFrame:
