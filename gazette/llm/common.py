@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,3 +60,17 @@ def dropped(df: DataFrame) -> None:
     for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def rows_where(docs: DataFrame, text_col: str, marks: Callable) -> DataFrame:
+    """The rows of docs, with all their columns, that ``marks`` keeps; it yields (first row, boolean array) for chunks of a text column."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, kept in marks(batch.column(at)):
+                yield batch.slice(first, len(kept)).filter(pa.array(kept))
+
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # any name is allowed in docs
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

@@ -15,6 +15,7 @@ id, items with the same id once; a null item_id is never listed; repeated rows a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import table
+from gazette.llm.common import rows_where, table
 from gazette.llm.kernels import LOWER, chunks, mix64, string_buffers, word_bounds, word_hashes
 
 WINDOW = 10
@@ -128,51 +129,61 @@ class Group:
         return np.concatenate(starts or [np.zeros(0, dtype=np.int64)]), np.concatenate(found or [np.zeros(0, dtype=np.int64)])
 
 
-_CACHE: dict[int, Patterns] = {}
+_CACHE: dict[tuple[str, int], Patterns] = {}
 
 
-def _search(broadcast, window: int) -> Callable:
-    key = broadcast.id if hasattr(broadcast, "id") else id(broadcast)
+def _tables(broadcast, window: int) -> Patterns:
+    """Tables of a broadcast, built once in a worker."""
+    name, items = broadcast.value
+    if (name, window) not in _CACHE:
+        _CACHE.clear()
+        _CACHE[name, window] = Patterns(items, window)
+    return _CACHE[name, window]
+
 
-    def tables() -> Patterns:
-        if key not in _CACHE:
-            _CACHE.clear()
-            _CACHE[key] = Patterns(broadcast.value, window)
-        return _CACHE[key]
+def _search(broadcast, window: int) -> Callable:
+    """Adds occurrences to hits and items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            patterns = tables()
-            offsets, data = string_buffers(batch.column("text"))
-            for first, last in chunks(offsets):
-                own = offsets[first : last + 1] - offsets[first]
-                low = LOWER[data[offsets[first] : offsets[last]]]
-                begin, end, starts = word_bounds(low, own, alnum=True)
-                numbers = patterns.number(low, begin, end)
-                raw = low.tobytes()
-                n = last - first
-                # A stream with a zero after each text: no occurrence crosses it.
-                stream = np.insert(numbers, starts[1:], 0)
-                shifted = starts + np.arange(n + 1)
+            for first, starts, found in occurrences(_tables(broadcast, window), batch.column("text")):
+                n = len(starts) - 1
                 hits = [[(x["begin"], x["end"]) for x in row] for row in batch.column("hits").slice(first, n).to_pylist()]
                 items = [set(row) for row in batch.column("items").slice(first, n).to_pylist()]
-                for group in patterns.groups:
-                    place, pattern = group.search(stream)
-                    text = np.searchsorted(shifted, place, side="right") - 1
-                    for p, q, t in zip((place - text).tolist(), pattern.tolist(), text.tolist()):
-                        # The word numbers came from hashes: compare the bytes themselves.
-                        if all(patterns.words.get(raw[begin[k] : end[k]]) == w for k, w in zip(range(p, p + group.length), group.patterns[q].tolist())):
-                            hits[t].append((p - int(starts[t]), p - int(starts[t]) + group.length))
-                            items[t].update(patterns.names[i] for i in group.items[q])
-                merged = [merge(x) for x in hits]
+                for text, begin, end, names in found:
+                    hits[text].append((begin, end))
+                    items[text].update(names)
                 kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-                columns = {"doc_id": batch.column("doc_id").slice(first, n), "n_words": pa.array(np.diff(starts)), "hits": pa.array([[{"begin": a, "end": b} for a, b in x] for x in merged], kind)}
+                columns = {"doc_id": batch.column("doc_id").slice(first, n), "n_words": pa.array(np.diff(starts)), "hits": pa.array([[{"begin": a, "end": b} for a, b in merge(x)] for x in hits], kind)}
                 columns |= {"items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "text": batch.column("text").slice(first, n)}
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
+def occurrences(patterns: Patterns, column: pa.Array) -> Iterator[tuple[int, np.ndarray, list[tuple[int, int, int, list[str]]]]]:
+    """For each chunk: its first row, the number of words before each text, and (text, begin, end, items) of all occurrences."""
+    offsets, data = string_buffers(column)
+    for first, last in chunks(offsets):
+        own = offsets[first : last + 1] - offsets[first]
+        low = LOWER[data[offsets[first] : offsets[last]]]
+        begin, end, starts = word_bounds(low, own, alnum=True)
+        numbers = patterns.number(low, begin, end)
+        raw = low.tobytes()
+        # A stream with a zero after each text: no occurrence crosses it.
+        stream = np.insert(numbers, starts[1:], 0)
+        shifted = starts + np.arange(last - first + 1)
+        found = []
+        for group in patterns.groups:
+            place, pattern = group.search(stream)
+            text = np.searchsorted(shifted, place, side="right") - 1
+            for p, q, t in zip((place - text).tolist(), pattern.tolist(), text.tolist()):
+                # The word numbers came from hashes: compare the bytes themselves.
+                if all(patterns.words.get(raw[begin[k] : end[k]]) == w for k, w in zip(range(p, p + group.length), group.patterns[q].tolist())):
+                    found.append((t, p - int(starts[t]), p - int(starts[t]) + group.length, [patterns.names[i] for i in group.items[q]]))
+        yield first, starts, found
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -183,20 +194,39 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, patterns: int = PATTERNS, keep_text: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, hits (maximal runs of hit words) and items (sorted ids of items with occurring windows)."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _broadcasts(benchmark: DataFrame, patterns: int) -> Iterator:
+    """The items in parts, each within the bound."""
+    spark = benchmark.sparkSession
     sized = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     # An item of n bytes has n / 2 windows at most, so parts by bytes keep every broadcast within the bound.
     total = sized.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     parts = max(1, -(-int(total) // patterns))
-    none = F.array().cast("array<struct<begin: bigint, end: bigint>>")
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), none.alias("hits"), F.array().cast("array<string>").alias("items"), text.alias("text"))
     for part in range(parts):
         own = sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else sized
-        items = [(r.item, r.text.encode()) for r in own.toLocalIterator()]
-        found = found.mapInArrow(_search(spark.sparkContext.broadcast(items), window), _OUT)
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.text.encode()) for r in own.toLocalIterator()]))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, patterns: int = PATTERNS) -> DataFrame:
+    """The rows of docs, with all their columns, in which no benchmark window occurs."""
+    for broadcast in _broadcasts(benchmark, patterns):
+
+        def marks(column: pa.Array, broadcast=broadcast) -> Iterator[tuple[int, np.ndarray]]:
+            for first, starts, found in occurrences(_tables(broadcast, window), column):
+                kept = np.ones(len(starts) - 1, dtype=bool)
+                kept[[text for text, *_ in found]] = False
+                yield first, kept
+
+        docs = rows_where(docs, text_col, marks)
+    return docs
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, patterns: int = PATTERNS, keep_text: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, hits (maximal runs of hit words) and items (sorted ids of items with occurring windows)."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    none = F.array().cast("array<struct<begin: bigint, end: bigint>>")
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), none.alias("hits"), F.array().cast("array<string>").alias("items"), text.alias("text"))
+    for broadcast in _broadcasts(benchmark, patterns):
+        found = found.mapInArrow(_search(broadcast, window), _OUT)
     return found if keep_text else found.drop("text")
 
 

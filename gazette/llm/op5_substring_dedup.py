@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gazette.llm.common import table
 from gazette.llm.kernels import chunks, string_buffers, word_bounds
@@ -55,8 +56,12 @@ def _cut(window: int) -> Callable:
                     kept.append(b" ".join(raw[begin[a + k] : end[a + k]] for p, q in stay for k in range(p, q)))
                     left.append(b"\n".join(raw[begin[a + p] : end[a + q - 1]] for p, q in stay))
                 kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-                columns = {"doc_id": batch.column("d").slice(first, last - first), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "intervals": pa.array(intervals, kind)}
-                columns |= {"kept": pa.array(kept, pa.binary()).cast(pa.string()), "text": pa.array(left, pa.binary()).cast(pa.string())}
+                columns = {"text": pa.array(left, pa.binary()).cast(pa.string())}
+                if "rest" in batch.schema.names:
+                    columns = {"rest": batch.column("rest").slice(first, last - first)} | columns
+                else:
+                    counts = {"doc_id": batch.column("d").slice(first, last - first), "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64())}
+                    columns = counts | {"intervals": pa.array(intervals, kind), "kept": pa.array(kept, pa.binary()).cast(pa.string())} | columns
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -70,6 +75,16 @@ def remove_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return per_text(texts, repeated(texts, unit, keep_first=True)).mapInArrow(_cut(window), _OUT)
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """The rows of docs, with all their columns, and repeated passages cut out of the text."""
+    unit = Unit("words", window, anchor)
+    texts = keyed(docs, id_col, text_col, carry=True)
+    found = per_text(texts, repeated(texts, unit, keep_first=True))
+    schema = T.StructType([texts.schema["rest"], texts.schema["text"]])
+    cut = found.select("text", "runs", "rest").mapInArrow(_cut(window), schema)
+    return cut.select(*(F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

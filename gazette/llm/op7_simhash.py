@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from gazette.llm.common import stored, table
 from gazette.llm.components import components
 from gazette.llm.kernels import LOWER, SPACE, chunks, string_buffers, word_bounds, xxh64_slices
+from gazette.llm.repeats import keyed
 
 SHINGLE = 3
 BITS = 3
@@ -79,15 +80,14 @@ def _fingerprint(shingle: int) -> Callable:
             offsets, data = string_buffers(batch.column("text"))
             parts = [fingerprints_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle) for a, b in chunks(offsets)]
             fp = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_pydict({"d": batch.column("d"), "fp": pa.array(fp.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"d": batch.column("d"), "t": batch.column("t"), "fp": pa.array(fp.view(np.int64))})
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(d, fp): id and 64-bit fingerprint of every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(_fingerprint(shingle), "d long, fp long")
+    """(d, t, fp): id, hash of the text and 64-bit fingerprint of every row."""
+    return keyed(docs, id_col, text_col).mapInArrow(_fingerprint(shingle), "d long, t int, fp long")
 
 
 class Golay:
@@ -193,15 +193,26 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row for each row of docs: doc_id, fingerprint (long) and component_id, the least id reachable over links."""
+    """One row for each row of docs: doc_id, t (hash of the text), fingerprint (long), root (the least fingerprint of the component)
+    and component_id, the least id reachable over links."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("d").alias("first")), "nodes")
     found = stored(components(links(nodes, bits)), "components")
     rooted = found.join(nodes, found["node"] == nodes["fp"]).select("node", "root", "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    moved = rooted.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    labels = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(labels, "fp").select(F.col("d").alias("doc_id"), F.col("fp").alias("fingerprint"), "component_id")
+    moved = rooted.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    labels = nodes.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return prints.join(stored(labels, "labels"), "fp").select(F.col("d").alias("doc_id"), "t", F.col("fp").alias("fingerprint"), "root", "component_id")
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of docs, with all its columns, for each component: the one with the least id (null ids last)."""
+    rows = simhash_components(docs, id_col, text_col, shingle, bits)
+    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.t").alias("_t")).distinct()
+    hashed = docs.withColumn("_own", F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    found = hashed.join(stored(kept, "kept"), F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_t")), "left_semi")
+    # Repeated rows have equal id and text; one of them stays.
+    return found.dropDuplicates([id_col, "_own"]).drop("_own")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import stored, table
+from gazette.llm.common import rows_where, stored, table
 from gazette.llm.kernels import chunks, string_buffers, word_bounds, word_hashes
 
 SHRINK = 0.1
@@ -160,5 +160,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, i
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    model = fit(stored(statistics(docs, id_col, text_col), "statistics"), labels)
+
+    def marks(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+        offsets, data = string_buffers(column)
+        for first, last in chunks(offsets):
+            x = statistics_of(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
+            yield first, (np.full(len(x), model) if isinstance(model, float) else model.score(x)) >= threshold
+
+    return rows_where(docs, text_col, marks)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -272,10 +272,14 @@ def _finer(unit: Unit, anchor: int) -> Callable:
     return run
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(d, t, text): id, hash of the text, and the text with null as empty. d and t name a row; rows equal in both share verdicts."""
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(d, t, text): id, hash of the text, and the text with null as empty. d and t name a row; rows equal in both share verdicts.
+
+    With ``carry`` a struct ``rest`` holds all other columns.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.hash(text).alias("t"), text.alias("text"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if carry else []
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.hash(text).alias("t"), text.alias("text"), *rest)
 
 
 def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, group: int = GROUP) -> DataFrame:
@@ -284,6 +288,7 @@ def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, gr
     ``texts`` comes from :func:`keyed`. With ``keep_first`` the earliest occurrence (least d, then least start) doesn't count as repeated.
     Runs of a text may touch or overlap.
     """
+    texts = texts.select("d", "t", "text")
     spans = stored(texts.mapInArrow(_spans(unit), _SPANS), "spans")
     _, known, members = _counted(spans, keep_first)
     several = known.filter("contents > 1").select("first.d", "first.t", F.struct("a", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi")).alias("x"))
@@ -292,7 +297,7 @@ def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, gr
     contents = stored(held.mapInArrow(_contents(unit), "d long, t int, a long, lo long, hi long, content binary"), "contents")
     runs = members
     for anchor in unit.deeper:
-        large = known.filter(F.col("contents") > group).select("a").distinct()
+        large = known.filter(F.col("contents") > group).select("a")
         few = contents.join(large, "a", "left_anti")
         runs = runs.unionByName(few.repartition("a").sortWithinPartitions("a").mapInArrow(_resolve(unit, keep_first, passes), _RUNS))
         if large.isEmpty():
@@ -313,7 +318,8 @@ def _counted(spans: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame,
     The first counts move two hashes a row; places and contents move only for anchors that recur.
     """
     anchors = spans.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total"))
-    hits = stored(spans.join(anchors.filter("total > 1").drop("total"), "a"), "hits")
+    anchors = stored(anchors.filter("total > 1").drop("total"), "anchors")  # both sides of the join are then plain, so that Spark can split a hot anchor
+    hits = stored(spans.join(anchors, "a"), "hits")
     dropped(spans)
     known = hits.groupBy("a", "s", "contents").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "lo", "t", "hi")).alias("first"))
     known = stored(known, "known")
