@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from unicodedata import normalize
 
 import pyarrow as pa
@@ -72,3 +73,8 @@ def none_if_empty(c: Column) -> Column:
 def first_filled(*columns: Column, default: str = "Not Available") -> Column:
     """The first value that is neither NULL nor empty."""
     return F.coalesce(*(none_if_empty(c.cast("string")) for c in columns), F.lit(default))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once for each row however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gazette.functions.text import fold
 from gazette.operators import extract
-from gazette.operators.classify import SIGNALS, with_evidence, with_verdict
+from gazette.operators.classify import SIGNALS, oncology_score, with_area, with_evidence, with_verdict
 from gazette.operators.lexicon import compiled, hits, stem_hits
 from gazette.plans.params import ScreenParams
 from gazette.queries import query
@@ -58,10 +58,8 @@ def c02_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EVIDENCE + f", s AS (SELECT doc_id, {SCORE} AS score, {AREA} AS area FROM e) SELECT doc_id, round(score, 6) AS score, area FROM s")
 def c04_score_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gazette.operators.classify import best_area, oncology_score
-
-    e = with_evidence(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", PROSE)
-    return e.select("doc_id", F.round(oncology_score(F.col("evidence")), 6).alias("score"), best_area(F.col("evidence"))["area"].alias("area"))
+    e = with_area(with_evidence(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", PROSE))
+    return e.select("doc_id", F.round(oncology_score(), 6).alias("score"), "area")
 
 
 @query(VERDICT + """ SELECT doc_id, is_pharma, is_device, is_oncology, therapeutic_area, round(confidence, 6) AS confidence, needs_review, CAST(priority_score AS DOUBLE) AS priority_score,
