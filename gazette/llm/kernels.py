@@ -16,7 +16,7 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 
 #: Bytes of text that one chunk holds at most, unless a single text is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

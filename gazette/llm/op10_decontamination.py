@@ -77,24 +77,23 @@ def split(text: bytes) -> list[bytes]:
 class Group:
     """Shift table and buckets of patterns of one length."""
 
-    BITS = 20
-
     def __init__(self, length: int, patterns: dict[tuple[int, ...], set[int]]):
         self.length, self.block = length, min(2, length)
+        self.bits = max(12, int(4 * len(patterns)).bit_length())
         self.patterns = np.array(list(patterns), dtype=np.int64)
         self.items = [sorted(x) for x in patterns.values()]
         most = length - self.block + 1
-        self.shift = np.full(1 << self.BITS, most, dtype=np.int64)
+        self.shift = np.full(1 << self.bits, most, dtype=np.int16)
         for end in range(self.block, length + 1):
             np.minimum.at(self.shift, self.key(*self.patterns[:, end - self.block : end].T), length - end)
         suffix = self.key(*self.patterns[:, length - self.block :].T)
         order = np.argsort(suffix, kind="stable")
         self.patterns, self.items = self.patterns[order], [self.items[i] for i in order]
-        self.bucket = np.searchsorted(suffix[order], np.arange((1 << self.BITS) + 1))
+        self.bucket = np.searchsorted(suffix[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
 
     def key(self, first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
         mixed = first.astype(np.uint64) if second is None else first.astype(np.uint64) * np.uint64(0x1_0000_0001) + second.astype(np.uint64)
-        return (mix64(mixed + np.uint64(1)) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (mix64(mixed + np.uint64(1)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def search(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start word and pattern of every occurrence in a stream of word numbers."""

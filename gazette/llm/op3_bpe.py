@@ -66,7 +66,7 @@ class PairIndex:
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 where it doesn't merge."""
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -77,13 +77,13 @@ class PairIndex:
         n = len(data)
         if not n:
             return np.zeros(0, dtype=np.uint32), sizes
-        word = np.repeat(np.arange(len(raw)), sizes)
+        word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         ends = np.cumsum(sizes)[sizes > 0] - 1
-        symbol = self.inner[data]
+        symbol = self.inner[data].astype(np.int32)
         symbol[ends] = self.last[data[ends]]
-        after = np.arange(1, n + 1)
+        after = np.arange(1, n + 1, dtype=np.int32)
         after[ends] = -1
-        before = np.arange(-1, n - 1)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         before[ends[:-1] + 1] = -1
         alive = np.ones(n, dtype=bool)
 
@@ -106,7 +106,9 @@ class PairIndex:
                     heapq.heappush(heap, rank)
                 index[rank].append(positions[a:b])
 
-        note(np.flatnonzero(after >= 0))
+        for at in range(0, n, 1 << 18):
+            own = after[at : at + (1 << 18)]
+            note(np.flatnonzero(own >= 0).astype(np.int32) + np.int32(at))
         while heap:
             rank = heapq.heappop(heap)
             lists = index.pop(rank)

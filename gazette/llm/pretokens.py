@@ -104,9 +104,9 @@ def hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray
 class Lexicon:
     """Ids of the words that this Python worker has met; bounded, and emptied when full."""
 
-    _BITS = 22
+    _BITS = 21
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000):
         """``encode`` gives all ids of some words, and the number of ids of each."""
         self._encode, self._most = encode, most
         self._clear()
@@ -192,7 +192,7 @@ class WordEncoder:
         chunks, first = [], 0
         while first < len(pieces):
             last, size = first, 0
-            while last < len(pieces) and (last == first or size + len(pieces[last]) <= CHUNK_BYTES // 2):
+            while last < len(pieces) and (last == first or size + len(pieces[last]) <= CHUNK_BYTES):
                 size += len(pieces[last])
                 last += 1
             chunks.append(pieces[first:last])

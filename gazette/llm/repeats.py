@@ -30,7 +30,7 @@ from gazette.llm.kernels import RangeHash, chunks, mix64, sliding_min, string_bu
 #: Contents of one anchor that one task compares; larger groups are told apart by longer anchors first.
 GROUP = 64
 #: Tokens hashed at once; longer texts are cut into overlapping pieces.
-PIECE = 1 << 21
+PIECE = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
 _GRAM = 8
 

@@ -91,7 +91,7 @@ def test_lexicon_is_bounded():
     for at in range(0, len(texts), 10):
         for x, t in zip(fast.encode(texts[at : at + 10]), texts[at : at + 10]):
             assert x.tolist() == library.encode(t, add_special_tokens=False).ids
-    fast.lexicon._most = 1_500_000
+    fast.lexicon._most = 1_000_000
 
 
 def test_files_round_trip(spark):
