@@ -1,8 +1,8 @@
 """A training-data pipeline over ``documents``: quality, near duplicates, repeated passages, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next stage's docs. All
-stages but the last return the columns of documents. The near-duplicate stage links fingerprints as op7's contract says (3-word
-shingles, at most 3 differing bits).
+stages but the last return the columns of documents. The near-duplicate stage links texts whose five-word shingles have a Jaccard
+similarity of 0.8 or more.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gazette.llm.common import stored, table
+from gazette.llm.near_copies import survivors
 from gazette.llm.op3_bpe import encode_bpe
 from gazette.llm.op5_substring_dedup import without_repeats
-from gazette.llm.op7_simhash import survivors
 from gazette.llm.op9_quality_classifier import keep
 from gazette.llm.op10_decontamination import clean
 

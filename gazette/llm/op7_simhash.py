@@ -41,14 +41,14 @@ _SHIFTS = (0, 22, 43)
 _GENERATOR = 0b110001110101
 
 
-def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit SimHash of each text of a chunk."""
+def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all shingles of a chunk, text by text, and how many each text has."""
     low = LOWER[data]
     begin, end, starts = word_bounds(low, offsets)
     n = len(offsets) - 1
     counts = np.diff(starts)
     if not len(begin):
-        return np.zeros(n, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(n, dtype=np.int64)
     # Words with one space after each: a shingle is then one slice.
     place = np.flatnonzero(~SPACE[low])
     keep = np.zeros(len(low) + 1, dtype=np.int64)
@@ -63,7 +63,15 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     inner = np.arange(len(owner)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     first = starts[owner] + inner
     last = np.minimum(first + shingle, starts[owner + 1]) - 1
-    h = xxh64_slices(packed, to_begin[first], to_end[last], SEED)
+    return xxh64_slices(packed, to_begin[first], to_end[last], SEED), per_text
+
+
+def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit SimHash of each text of a chunk."""
+    h, per_text = shingle_hashes(data, offsets, shingle)
+    n = len(per_text)
+    if not len(h):
+        return np.zeros(n, dtype=np.uint64)
     full = np.flatnonzero(per_text)
     heads = (np.cumsum(per_text) - per_text)[full]
     bits = np.empty((len(full), 64), dtype=bool)
@@ -205,16 +213,6 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return prints.join(stored(labels, "labels"), "fp").select(F.col("d").alias("doc_id"), "t", F.col("fp").alias("fingerprint"), "root", "component_id")
 
 
-def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of docs, with all its columns, for each component: the one with the least id (null ids last)."""
-    rows = simhash_components(docs, id_col, text_col, shingle, bits)
-    kept = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("k")).select(F.col("k.doc_id").alias("_d"), F.col("k.t").alias("_t")).distinct()
-    hashed = docs.withColumn("_own", F.hash(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    found = hashed.join(stored(kept, "kept"), F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_t")), "left_semi")
-    # Repeated rows have equal id and text; one of them stays.
-    return found.dropDuplicates([id_col, "_own"]).drop("_own")
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
