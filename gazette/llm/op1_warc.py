@@ -8,7 +8,8 @@ moved into place when complete, so a task that runs again replaces its own files
 Reading: archives are parsed in tasks; whole records are decoded at once, segments are grouped by their origin identifier, put in order
 of segment number, checked against the total length, and only then is the chunked framing decoded.
 
-Cases: a null payload counts as empty, and empty payloads are equal to each other; pages equal in id and payload are all responses;
+Cases: a null payload counts as empty, and empty payloads are equal to each other; pages equal in id and payload are all responses
+under record ids of their own, and a revisit names none of several by record id, only the page;
 a null id is written without an id and comes back null, as a response unless a page with an id has the same payload; line ends in URLs
 are percent-encoded; a record with a missing segment, a wrong total length or broken framing comes back with ``complete`` false and null
 payload; columns other than id, URL and payload are not read.
@@ -43,8 +44,8 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, digest: str, part: int = 1) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{part}')}>"
+def record_id(page_id: int | None, digest: str, part: int = 1, copy: str = "") -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{part}{copy}')}>"
 
 
 def framed(payload: bytes, chunk: int) -> bytes:
@@ -79,14 +80,15 @@ def member(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return packer.compress(b"WARC/1.1\r\n" + head.encode() + _END + block + _END + _END) + packer.flush()
 
 
-def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int, chunk: int) -> Iterator[bytes]:
+def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, segment: int, chunk: int, copy: str = "", named: bool = True) -> Iterator[bytes]:
+    """``copy`` tells rows equal in id and payload apart; a revisit names its response only where that is one record (``named``)."""
     digest = digest_of(payload)
-    own = record_id(page_id, digest)
+    own = record_id(page_id, digest, copy=copy)
     date = ("WARC-Date", "1970-01-01T00:00:00Z")
     target = None if url is None else url.replace("\r", "%0D").replace("\n", "%0A")
     shared = [("WARC-Target-URI", target), date, ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-Id", page_id), ("X-Payload-Length", len(payload))]
     if refers_to is not None:
-        head = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest)), ("X-Refers-To-Page-Id", refers_to)]
+        head = [("WARC-Type", "revisit"), ("WARC-Record-ID", own), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(refers_to, digest) if named else None), ("X-Refers-To-Page-Id", refers_to)]
         yield member(head + shared, b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n")
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\n\r\n" + framed(payload, chunk)
@@ -95,7 +97,7 @@ def records(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     yield member(head + shared + ([("WARC-Segment-Number", 1)] if len(pieces) > 1 else []), pieces[0])
     for n, piece in enumerate(pieces[1:], 2):
         last = [("WARC-Segment-Total-Length", len(block))] if n == len(pieces) else []
-        yield member([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, digest, n)), date, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), *last], piece)
+        yield member([("WARC-Type", "continuation"), ("WARC-Record-ID", record_id(page_id, digest, n, copy)), date, ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", n), *last], piece)
 
 
 class Archives:
@@ -130,12 +132,19 @@ class Archives:
 def _write(folder: str, segment: int, chunk: int, archive: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Archives(folder, f"part-{TaskContext.get().partitionId():06d}", archive)
+        copies: dict[tuple[int | None, bytes], int] = {}
         row = lambda done: pa.RecordBatch.from_pydict({"path": [done[0]], "bytes": pa.array([done[1]], pa.int64())})
         for batch in batches:
-            columns = [batch.column(k) for k in ("page_id", "url", "payload", "refers_to")]
+            columns = [batch.column(k) for k in ("page_id", "url", "payload", "refers_to", "several", "named")]
             for i in range(len(batch)):
-                page, url, payload, refers = (c[i].as_py() for c in columns)
-                for data in records(page, url, payload or b"", refers, segment, chunk):
+                page, url, payload, refers, several, named = (c[i].as_py() for c in columns)
+                copy = ""
+                if several:
+                    # Equal rows are numbered in their partition: the numbers don't depend on the order of rows when a task runs again.
+                    key = (page, hashlib.sha1(payload or b"").digest())
+                    copies[key] = copies.get(key, 0) + 1
+                    copy = f":{TaskContext.get().partitionId()}:{copies[key]}"
+                for data in records(page, url, payload or b"", refers, segment, chunk, copy, named is not False):
                     if done := out.add(data):
                         yield row(done)
         if done := out.close():
@@ -149,9 +158,12 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
     ids = rows.select("page_id", F.sha1("payload").alias("sha"))
-    firsts = ids.groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = ids.join(firsts, "sha").filter(F.coalesce(F.col("page_id") != F.col("refers_to"), F.col("refers_to").isNotNull())).distinct()
-    later = later.select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "refers_to")
+    counted = ids.groupBy("page_id", "sha").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("first")
+    firsts = counted.groupBy("sha").agg(first, F.sum("n").alias("total")).filter("total > 1").drop("total")
+    later = F.coalesce(F.col("page_id") != F.col("first.page_id"), F.col("first.page_id").isNotNull())
+    later = counted.join(firsts, "sha").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.when(later, F.col("first.page_id")).alias("refers_to"), (F.col("n") > 1).alias("several"), (F.col("first.n") == 1).alias("named"))
+    later = later.filter("refers_to is not null or several")
     marked = rows.join(later, rows["page_id"].eqNullSafe(later["p"]) & (F.sha1(rows["payload"]) == later["s"]), "left").drop("p", "s")
     return stored(marked.mapInArrow(_write(folder, segment, chunk, archive), "path string, bytes long"), "manifest")
 
