@@ -10,7 +10,7 @@ Words are compared exactly: each word of the benchmark has a number, found by it
 ``PATTERNS`` (a proven bound); a larger benchmark makes several passes over the documents, each with its own part.
 
 Cases: null and empty texts have no words and are clean; items without words have no pattern; repeated items count each under its
-id, items with the same id once; a null item_id is never listed; repeated rows are each judged; only the id and text columns are read.
+id, items with the same id once; an item with a null id marks hits in the query and in the pipeline, but is never listed; repeated rows are each judged; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -36,16 +36,18 @@ _OUT = "doc_id long, n_words long, hits array<struct<begin: long, end: long>>, i
 class Patterns:
     """Tables of one set of items, built once for each Python worker."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.words: dict[bytes, int] = {}
         by_length: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        self.names = sorted({name for name, _ in items})
+        self.names = sorted({name for name, _ in items if name is not None})
         number = {name: i for i, name in enumerate(self.names)}
         for name, text in items:
             words = [self.words.setdefault(w, len(self.words) + 1) for w in split(text)]
             size = min(window, len(words))
             for i in range(len(words) - size + 1 if size else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(number[name])
+                named = by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set())
+                if name is not None:
+                    named.add(number[name])
         self.groups = [Group(size, found) for size, found in sorted(by_length.items())]
         raw = b" ".join(self.words)
         data = np.frombuffer(raw, dtype=np.uint8)
@@ -193,10 +195,11 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _broadcasts(benchmark: DataFrame, patterns: int) -> Iterator:
-    """The items in parts, each within the bound."""
+def _broadcasts(benchmark: DataFrame, patterns: int, unnamed: bool = True) -> Iterator:
+    """The items in parts, each within the bound; those with a null id only where ``unnamed`` is set."""
     spark = benchmark.sparkSession
-    sized = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    known = benchmark if unnamed else benchmark.filter(F.col("item_id").isNotNull())
+    sized = known.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     # An item of n bytes has n / 2 windows at most, so parts by bytes keep every broadcast within the bound.
     total = sized.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
     parts = max(1, -(-int(total) // patterns))
@@ -219,18 +222,21 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window:
     return docs
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, patterns: int = PATTERNS, keep_text: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, n_words, hits (maximal runs of hit words) and items (sorted ids of items with occurring windows)."""
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, patterns: int = PATTERNS, keep_text: bool = False, unnamed: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_words, hits (maximal runs of hit words) and items (sorted ids of items with occurring windows).
+
+    With ``unnamed`` items with a null id mark hits too.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<begin: bigint, end: bigint>>")
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), none.alias("hits"), F.array().cast("array<string>").alias("items"), text.alias("text"))
-    for broadcast in _broadcasts(benchmark, patterns):
+    for broadcast in _broadcasts(benchmark, patterns, unnamed):
         found = found.mapInArrow(_search(broadcast, window), _OUT)
     return found if keep_text else found.drop("text")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    out = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), unnamed=True)
     hit = F.aggregate("hits", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["begin"])
     out = out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
     return out.withColumn("contaminated", F.col("n_hit") > 0)
