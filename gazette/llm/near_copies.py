@@ -148,11 +148,11 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """One row of docs, with all its columns, for each component of near copies: the one with the least id (null ids last)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = near_components(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), shingle)
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("node"), F.xxhash64(text, F.lit(1)).alias("other"))
+    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("other"))
     rooted = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # A row is named by its id and two 64-bit hashes of its text.
     kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "node", "other")).alias("k")).select(F.col("k.d").alias("_d"), F.col("k.node").alias("_n"), F.col("k.other").alias("_o"))
-    own = docs.withColumns({"_own": F.xxhash64(text), "_own2": F.xxhash64(text, F.lit(1))})
+    own = docs.withColumns({"_own": F.xxhash64(text), "_own2": F.xxhash64(F.lit(1), text)})
     same = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_n")) & (F.col("_own2") == F.col("_o"))
     # Repeated rows have equal id and text; one of them stays.
     return own.join(stored(kept, "kept"), same, "left_semi").dropDuplicates([id_col, "_own", "_own2"]).drop("_own", "_own2")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from gazette.llm.common import stored, table
 from gazette.llm.components import components
 from gazette.llm.kernels import LOWER, SPACE, chunks, string_buffers, word_bounds, xxh64_slices
-from gazette.llm.repeats import keyed
+from gazette.llm.repeats import NAME, keyed
 
 SHINGLE = 3
 BITS = 3
@@ -94,8 +94,8 @@ def _fingerprint(shingle: int) -> Callable:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(d, t, fp): id, hash of the text and 64-bit fingerprint of every row."""
-    return keyed(docs, id_col, text_col).mapInArrow(_fingerprint(shingle), "d long, t int, fp long")
+    """(d, t, fp): id, hashes of the text and 64-bit fingerprint of every row."""
+    return keyed(docs, id_col, text_col).mapInArrow(_fingerprint(shingle), f"d long, t {NAME}, fp long")
 
 
 class Golay:
@@ -201,7 +201,7 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row for each row of docs: doc_id, t (hash of the text), fingerprint (long), root (the least fingerprint of the component)
+    """One row for each row of docs: doc_id, t (hashes of the text), fingerprint (long), root (the least fingerprint of the component)
     and component_id, the least id reachable over links."""
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min("d").alias("first")), "nodes")

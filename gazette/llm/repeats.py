@@ -29,6 +29,8 @@ from gazette.llm.kernels import RangeHash, chunks, mix64, sliding_min, string_bu
 
 #: Contents of one anchor that one task compares; larger groups are told apart by longer anchors first.
 GROUP = 64
+#: Type of the second half of a row's name, beside its id: two 64-bit hashes of its text.
+NAME = "struct<h: bigint, g: bigint>"
 #: Tokens hashed at once; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 _POSITION = np.uint64((1 << 24) - 1)
@@ -90,8 +92,8 @@ def _pieces(unit: Unit, get: Callable, starts: np.ndarray, anchor: int) -> Itera
         yield text[first], start[first], start[last], anchors[at[first]], hashes, base
 
 
-_SPANS = "d long, t int, a long, s long, lo long, hi long"
-_RUNS = "d long, t int, lo long, hi long"
+_SPANS = f"d long, t {NAME}, a long, s long, lo long, hi long"
+_RUNS = f"d long, t {NAME}, lo long, hi long"
 
 
 def _as_table(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
@@ -273,13 +275,13 @@ def _finer(unit: Unit, anchor: int) -> Callable:
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """(d, t, text): id, hash of the text, and the text with null as empty. d and t name a row; rows equal in both share verdicts.
+    """(d, t, text): id, two hashes of the text, and the text with null as empty. d and t name a row; rows equal in both share verdicts.
 
     With ``carry`` a struct ``rest`` holds all other columns.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("rest")] if carry else []
-    return docs.select(F.col(id_col).cast("long").alias("d"), F.hash(text).alias("t"), text.alias("text"), *rest)
+    return docs.select(F.col(id_col).cast("long").alias("d"), F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")).alias("t"), text.alias("text"), *rest)
 
 
 def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, group: int = GROUP) -> DataFrame:
@@ -294,7 +296,7 @@ def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, gr
     several = known.filter("contents > 1").select("first.d", "first.t", F.struct("a", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi")).alias("x"))
     wanted = several.groupBy("d", "t").agg(F.collect_list("x").alias("wanted")).withColumnsRenamed({"d": "wd", "t": "wt"})
     held = texts.join(wanted, F.col("d").eqNullSafe(F.col("wd")) & (F.col("t") == F.col("wt"))).drop("wd", "wt")
-    contents = stored(held.mapInArrow(_contents(unit), "d long, t int, a long, lo long, hi long, content binary"), "contents")
+    contents = stored(held.mapInArrow(_contents(unit), f"d long, t {NAME}, a long, lo long, hi long, content binary"), "contents")
     runs = members
     for anchor in unit.deeper:
         large = known.filter(F.col("contents") > group).select("a")
