@@ -1,11 +1,13 @@
 """Suffix-array dedup: a depth-limited radix sort of all suffixes, most significant digit first, only through the threshold.
 
-Suffixes that are equal through ``window`` bytes are repeated windows; the passes are those of :mod:`gazette.llm.repeats` (anchor
-block, span content, then blocks of a quarter window each, from the first). A suffix leaves at the first pass that tells it apart
-from all others, so only the few that share a long passage reach full depth. Nothing is sorted further than the threshold.
+Suffixes that are equal through ``window`` bytes are repeated windows. Before the sort, the anchor and span passes of
+:mod:`gazette.llm.repeats` let go of suffixes that no other can equal and settle whole copies by their count. The rest is sorted by
+digits of eight bytes of the text itself, from the first: a suffix leaves at the pass that tells it apart from all others, so only the
+few that share a long passage reach full depth, and nothing is sorted further than the threshold.
 
 Cases: null and empty texts and texts shorter than the window give no span; a row that appears twice (same id and text) repeats
-itself; rows with the same id and other texts are other texts; a null id is kept as such; columns other than id and text are not read.
+itself; rows with the same id and other texts are other texts; a null id is kept as such; ties need no order, since all of a group go;
+a very long text is cut into overlapping pieces of a bounded size; an empty table gives no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,6 @@ from gazette.llm.repeats import Unit, covered, keyed, per_text, repeated
 
 WINDOW = 400
 ANCHOR = 128
-PASSES = 4
 _OUT = "doc_id long, n_bytes long, n_removed long, spans array<struct<begin: long, end: long>>, kept binary"
 
 
@@ -64,7 +65,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row for each row of docs: doc_id, n_bytes, n_removed, spans (maximal removed byte runs) and kept (remaining bytes)."""
     unit = Unit("bytes", window, anchor)
     texts = keyed(docs, id_col, text_col)
-    return per_text(texts, repeated(texts, unit, keep_first=False, passes=PASSES)).mapInArrow(_cut(window), _OUT)
+    return per_text(texts, repeated(texts, unit)).mapInArrow(_cut(window), _OUT)
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

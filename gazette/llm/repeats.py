@@ -1,18 +1,19 @@
 """Every window of W consecutive tokens that occurs more than once in a corpus, exactly, without a row for each window.
 
-Tokens are UTF-8 bytes or words. The suffixes that start at every token are told apart in passes, most significant first; a
-group that is settled leaves early:
+Tokens are UTF-8 bytes or words. Two passes, shared by the suffix sort (bytes) and by the window counts (words), drop what can't repeat:
 
 1. *Anchor pass.* In each window the least k-token hash (leftmost on ties) is its anchor. The choice depends on the window's content
    alone, so equal windows have equal anchors. Neighbouring windows with the same anchor form one *span*, about a row for each
    (W - k) / 2 tokens. Windows of a span whose anchor occurs once in the corpus are unique.
 2. *Span pass.* Spans with equal anchor and equal content: all their windows repeat together. Spark counts (anchor, content) with
    partial aggregation, so that groups of copies of any size become one row for each task.
-3. *Window pass.* Only where one anchor has several contents, one representative for each content is told apart window by window,
-   inside a task for up to ``GROUP`` contents. Larger groups go through the first two passes again with longer anchors, up to the
-   whole window, where every group is settled by its count.
 
-Hashes are 64-bit Rabin-Karp range hashes; a verdict needs two of them (anchor and content) to agree.
+What is left are anchors with several contents, one representative for each. :func:`repeated` orders their suffixes by
+most-significant-digit passes over the bytes themselves (:func:`msd_groups`), inside a task for up to ``GROUP`` contents; larger groups
+go through the two passes again with longer anchors, up to the whole window, where every group is settled by its count.
+:mod:`gazette.llm.op5_substring_dedup` has Spark count the hash of each of their windows instead.
+
+Hashes are 64-bit Rabin-Karp range hashes; a verdict by hashes needs two of them (anchor and content) to agree.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def _pieces(unit: Unit, get: Callable, starts: np.ndarray, anchor: int) -> Itera
         yield text[first], start[first], start[last], anchors[at[first]], hashes, base
 
 
-_SPANS = f"d long, t {NAME}, a long, s long, lo long, hi long"
+SPANS = f"d long, t {NAME}, a long, s long, lo long, hi long"
 _RUNS = f"d long, t {NAME}, lo long, hi long"
 
 
@@ -123,16 +124,33 @@ def _spans(unit: Unit) -> Callable:
     return run
 
 
+def unrepeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches without the rows whose id and text this task has had before."""
+    seen = set()
+    for batch in batches:
+        names = list(zip(batch.column("d").to_pylist(), ((x["h"], x["g"]) for x in batch.column("t").to_pylist())))
+        fresh = []
+        for name in names:
+            fresh.append(name not in seen)
+            seen.add(name)
+        if any(fresh):
+            yield batch if all(fresh) else batch.filter(pa.array(fresh))
+
+
+def wanted_spans(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For the column ``wanted``: bounds of each row's spans, and all anchors, first and last starts."""
+    flat = batch.column("wanted").flatten()
+    ends = np.append(0, np.cumsum(batch.column("wanted").value_lengths().fill_null(0).to_numpy(zero_copy_only=False))).astype(np.int64)
+    return ends, *(flat.field(k).to_numpy(zero_copy_only=False) for k in ("a", "lo", "hi"))
+
+
 def _contents(unit: Unit) -> Callable:
     """The bytes of each wanted span, from the texts that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in unrepeated(batches):
             offsets, data = string_buffers(batch.column("text"))
-            wanted = batch.column("wanted")
-            ends = np.append(wanted.offsets.to_numpy(), 0)[: len(batch) + 1].astype(np.int64)
-            flat = wanted.values
-            a, lo, hi = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("a", "lo", "hi"))
+            ends, a, lo, hi = wanted_spans(batch)
             for first, last in chunks(offsets):
                 own = offsets[first : last + 1] - offsets[first]
                 part = data[offsets[first] : offsets[last]]
@@ -150,41 +168,28 @@ def _contents(unit: Unit) -> Callable:
     return run
 
 
-def _windows(unit: Unit, table: pa.Table | pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, RangeHash, np.ndarray]]:
-    """For chunks of span contents: row of each window, its start in the text, the hashes, its place among them."""
-    offsets, data = string_buffers(table.column("content"))
-    lo = table.column("lo").to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column("lo").to_numpy()
-    for first, last in chunks(offsets):
-        own = offsets[first : last + 1] - offsets[first]
-        get, starts, _, _ = unit.cut(data[offsets[first] : offsets[last]], own)
-        hashes = RangeHash(get(0, int(starts[-1])))
-        count = np.maximum(np.diff(starts) - unit.window + 1, 0)
-        row = np.repeat(np.arange(last - first), count)
-        inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        yield row + first, lo[row + first] + inner, hashes, starts[row] + inner
-
-
 def msd_groups(digit: Callable[[int, np.ndarray], np.ndarray], passes: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Radix sort by most significant digit, depth-limited: members of equal groups after the last pass, and their group numbers.
 
     ``digit(p, rows)`` is the p-th digit of those rows. A group of one leaves at the pass that isolates it.
     """
-    rows = np.arange(len(group))
-    for p in range(-1, passes):
-        if p >= 0:
-            value = digit(p, rows)
-            order = np.lexsort((value, group))
-            rows, group, value = rows[order], group[order], value[order]
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
-        else:
-            order = np.argsort(group, kind="stable")
-            rows, group = rows[order], group[order]
-            new = np.ones(len(rows), dtype=bool)
-            new[1:] = group[1:] != group[:-1]
+    rows = np.argsort(group, kind="stable")
+    group = group[rows]
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = group[1:] != group[:-1]
+    for p in range(passes + 1):
         number = np.cumsum(new) - 1
         shared = (np.bincount(number)[number] > 1) if len(number) else new
         rows, group = rows[shared], number[shared]
+        if p == passes or not len(rows):
+            break
+        value = digit(p, rows)
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+        if np.any(new[1:] & (group[1:] == group[:-1])):  # else all digits of each group are equal
+            order = np.lexsort((value, group))
+            rows, group, value = rows[order], group[order], value[order]
+            new[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
     return rows, group
 
 
@@ -198,33 +203,41 @@ def _runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row[first], start[first], start[np.append(first[1:], len(row)) - 1] if len(row) else start[first]
 
 
-def _resolve(unit: Unit, keep_first: bool, passes: int) -> Callable:
-    """Tells representatives of the same anchor apart; rows come sorted by anchor."""
-    size = -(-unit.window // passes)
+def _windows(unit: Unit, table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of the contents: row, start in the text, and place of the first byte in the bytes that hold them all."""
+    offsets, data = string_buffers(table.column("content"))
+    lo = whole(table.column("lo")).to_numpy(zero_copy_only=False)
+    count = np.maximum(np.diff(offsets) - unit.window + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    inner = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    return row, lo[row] + inner, offsets[row] + inner, data
+
+
+def _once(table: pa.Table) -> pa.Table:
+    """Rows that are repeated come with equal spans: one of each is enough."""
+    seen, kept = set(), []
+    for i, key in enumerate(zip(*(whole(table.column(c)).to_pylist() for c in ("a", "d", "lo")), ((x["h"], x["g"]) for x in whole(table.column("t")).to_pylist()))):
+        if key not in seen:
+            seen.add(key)
+            kept.append(i)
+    return table if len(kept) == len(table) else table.take(pa.array(kept, pa.int64()))
+
+
+def _resolve(unit: Unit) -> Callable:
+    """Sorts the suffixes of representatives of the same anchor, by digits of eight bytes, through the window; rows come sorted by anchor."""
+    width = min(_GRAM, unit.window)
+    passes = -(-unit.window // width)
 
     def settle(table: pa.Table) -> pa.RecordBatch:
-        anchor = table.column("a").to_numpy()
-        rows, starts, digits = [], [], [[] for _ in range(passes)]
-        less = unit.window - unit.values_in_window
-        for row, start, hashes, place in _windows(unit, table):
-            rows.append(row)
-            starts.append(start)
-            for p in range(passes):
-                begin = place + min(p * size, unit.window - size)
-                digits[p].append(hashes.of(begin, begin + size - less))
-        if not rows:
+        table = _once(table)
+        anchor = whole(table.column("a")).to_numpy()
+        row, start, place, data = _windows(unit, table)
+        if not len(row):
             return None
-        row, start = np.concatenate(rows), np.concatenate(starts)
-        parts = [np.concatenate(x) for x in digits]
-        found, group = msd_groups(lambda p, at: parts[p][at], passes, anchor[row])
-        if keep_first and len(found):
-            doc = whole(table.column("d")).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)[row[found]]
-            order = np.lexsort((start[found], doc, group))
-            g, d, s = group[order], doc[order], start[found][order]
-            new = np.ones(len(g), dtype=bool)
-            new[1:] = g[1:] != g[:-1]
-            head = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-            found = found[order][(d != d[head]) | (s != s[head])]
+        raw = np.ascontiguousarray(data)
+        words = np.ndarray((len(raw) - width + 1,), dtype=">u8", buffer=raw.data, strides=(1,))
+        # The last digit ends with the window, and may overlap the one before.
+        found, _ = msd_groups(lambda p, at: words[place[at] + min(p * width, unit.window - width)].astype(np.uint64), passes, anchor[row])
         row, lo, hi = _runs(row[found], start[found])
         at = pa.array(row)
         return _as_table({"d": whole(table.column("d").take(at)), "t": whole(table.column("t").take(at)), "lo": lo, "hi": hi})
@@ -284,29 +297,34 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     return docs.select(F.col(id_col).cast("long").alias("d"), F.struct(F.xxhash64(text).alias("h"), F.xxhash64(F.lit(1), text).alias("g")).alias("t"), text.alias("text"), *rest)
 
 
-def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, group: int = GROUP) -> DataFrame:
-    """Runs of repeated windows: (d, t, lo, hi), first and last window start of each run, in tokens.
+def spans_table(texts: DataFrame, unit: Unit) -> DataFrame:
+    return stored(texts.mapInArrow(_spans(unit), SPANS), "spans")
 
-    ``texts`` comes from :func:`keyed`. With ``keep_first`` the earliest occurrence (least d, then least start) doesn't count as repeated.
-    Runs of a text may touch or overlap.
-    """
-    texts = texts.select("d", "t", "text")
-    spans = stored(texts.mapInArrow(_spans(unit), _SPANS), "spans")
-    _, known, members = _counted(spans, keep_first)
+
+def left_over(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """Texts that hold representatives of anchors with several contents, with ``wanted``, an array of (a, lo, hi)."""
     several = known.filter("contents > 1").select("first.d", "first.t", F.struct("a", F.col("first.lo").alias("lo"), F.col("first.hi").alias("hi")).alias("x"))
     wanted = several.groupBy("d", "t").agg(F.collect_list("x").alias("wanted")).withColumnsRenamed({"d": "wd", "t": "wt"})
-    held = texts.join(wanted, F.col("d").eqNullSafe(F.col("wd")) & (F.col("t") == F.col("wt"))).drop("wd", "wt")
-    contents = stored(held.mapInArrow(_contents(unit), f"d long, t {NAME}, a long, lo long, hi long, content binary"), "contents")
-    runs = members
+    return texts.join(wanted, F.col("d").eqNullSafe(F.col("wd")) & (F.col("t") == F.col("wt"))).drop("wd", "wt")
+
+
+def repeated(texts: DataFrame, unit: Unit, group: int = GROUP) -> DataFrame:
+    """Runs of repeated byte windows: (d, t, lo, hi), first and last window start of each run.
+
+    ``texts`` comes from :func:`keyed`. Runs of a text may touch, overlap or come twice.
+    """
+    texts = texts.select("d", "t", "text")
+    _, known, runs = counted(spans_table(texts, unit), False)
+    contents = stored(left_over(texts, known).mapInArrow(_contents(unit), f"d long, t {NAME}, a long, lo long, hi long, content binary"), "contents")
     for anchor in unit.deeper:
-        large = known.filter(F.col("contents") > group).select("a")
+        large = known.filter(F.col("contents") > group).select("a").distinct()
         few = contents.join(large, "a", "left_anti")
-        runs = runs.unionByName(few.repartition("a").sortWithinPartitions("a").mapInArrow(_resolve(unit, keep_first, passes), _RUNS))
+        runs = runs.unionByName(few.repartition("a").sortWithinPartitions("a").mapInArrow(_resolve(unit), _RUNS))
         if large.isEmpty():
             return runs
         many = contents.join(large, "a", "left_semi")
-        finer = stored(many.mapInArrow(_finer(unit, anchor), _SPANS + ", content binary"), "finer")
-        finer, known, members = _counted(finer, keep_first)
+        finer = stored(many.mapInArrow(_finer(unit, anchor), SPANS + ", content binary"), "finer")
+        finer, known, members = counted(finer, False)
         runs = runs.unionByName(members)
         first = known.filter("contents > 1").select("a", "s", F.col("first.d").alias("d0"), F.col("first.lo").alias("lo0"))
         contents = finer.join(first, ["a", "s"]).filter(F.col("d").eqNullSafe(F.col("d0")) & (F.col("lo") == F.col("lo0")))
@@ -314,7 +332,7 @@ def repeated(texts: DataFrame, unit: Unit, keep_first: bool, passes: int = 1, gr
     return runs
 
 
-def _counted(spans: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def counted(spans: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Spans whose anchor occurs more than once; their (anchor, content) pairs with the first places; the runs of copied spans.
 
     The first counts move two hashes a row; places and contents move only for anchors that recur.
@@ -333,8 +351,8 @@ def _counted(spans: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame,
 
 
 def per_text(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """texts with ``runs``, an array of (lo, hi), null where nothing repeats."""
-    gathered = runs.groupBy("d", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")).withColumnsRenamed({"d": "rd", "t": "rt"})
+    """texts with ``runs``, an array of (lo, hi), null where nothing repeats. Repeated rows bring each run as often as they came; it is listed once."""
+    gathered = runs.groupBy("d", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).withColumnsRenamed({"d": "rd", "t": "rt"})
     return texts.join(gathered, F.col("d").eqNullSafe(F.col("rd")) & (F.col("t") == F.col("rt")), "left").drop("rd", "rt")
 
 
