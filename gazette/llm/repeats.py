@@ -93,7 +93,9 @@ def _pieces(unit: Unit, get: Callable, starts: np.ndarray, anchor: int) -> Itera
         yield text[first], start[first], start[last], anchors[at[first]], hashes, base
 
 
-SPANS = f"d long, t {NAME}, a long, s long, lo long, hi long"
+_PLAIN = f"d long, t {NAME}, a long, s long, lo long, hi long"
+#: ``more`` lists further starts in the same piece of text where the same span begins: periodic texts have thousands.
+SPANS = _PLAIN + ", more array<long>"
 _RUNS = f"d long, t {NAME}, lo long, hi long"
 
 
@@ -117,9 +119,17 @@ def _spans(unit: Unit) -> Callable:
                 get, starts, _, _ = unit.cut(data[offsets[first] : offsets[last]], own)
                 for text, lo, hi, anchor, hashes, base in _pieces(unit, get, starts, unit.anchor):
                     content = hashes.of(lo, hi + unit.values_in_window)
-                    row = pa.array(text + first)
+                    order = np.lexsort((lo, content, anchor, text))
+                    text, lo, hi, anchor, content = text[order], lo[order], hi[order], anchor[order], content[order]
+                    new = np.ones(len(text), dtype=bool)
+                    new[1:] = (content[1:] != content[:-1]) | (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
                     shift = base - starts[text]
-                    yield _as_table({"d": batch.column("d").take(row), "t": batch.column("t").take(row), "a": anchor.view(np.int64), "s": content.view(np.int64), "lo": lo + shift, "hi": hi + shift})
+                    head = np.flatnonzero(new)
+                    ends = np.append(0, np.cumsum(np.diff(np.append(head, len(new))) - 1)).astype(np.int32)
+                    more = pa.ListArray.from_arrays(pa.array(ends), pa.array((lo + shift)[~new]))
+                    row = pa.array(text[head] + first)
+                    columns = {"d": batch.column("d").take(row), "t": batch.column("t").take(row), "a": anchor[head].view(np.int64), "s": content[head].view(np.int64)}
+                    yield _as_table(columns | {"lo": (lo + shift)[head], "hi": (hi + shift)[head], "more": more})
 
     return run
 
@@ -323,7 +333,7 @@ def repeated(texts: DataFrame, unit: Unit, group: int = GROUP) -> DataFrame:
         if large.isEmpty():
             return runs
         many = contents.join(large, "a", "left_semi")
-        finer = stored(many.mapInArrow(_finer(unit, anchor), SPANS + ", content binary"), "finer")
+        finer = stored(many.mapInArrow(_finer(unit, anchor), _PLAIN + ", content binary").withColumn("more", F.array().cast("array<bigint>")), "finer")
         finer, known, members = counted(finer, False)
         runs = runs.unionByName(members)
         first = known.filter("contents > 1").select("a", "s", F.col("first.d").alias("d0"), F.col("first.lo").alias("lo0"))
@@ -337,17 +347,19 @@ def counted(spans: DataFrame, keep_first: bool) -> tuple[DataFrame, DataFrame, D
 
     The first counts move two hashes a row; places and contents move only for anchors that recur.
     """
-    anchors = spans.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total"))
+    times = F.size("more") + 1
+    anchors = spans.groupBy("a", "s").agg(F.sum(times).alias("n")).groupBy("a").agg(F.count(F.lit(1)).alias("contents"), F.sum("n").alias("total"))
     anchors = stored(anchors.filter("total > 1").drop("total"), "anchors")  # both sides of the join are then plain, so that Spark can split a hot anchor
     hits = stored(spans.join(anchors, "a"), "hits")
     dropped(spans)
-    known = hits.groupBy("a", "s", "contents").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "lo", "t", "hi")).alias("first"))
+    known = hits.groupBy("a", "s", "contents").agg(F.sum(times).alias("n"), F.min(F.struct("d", "lo", "t", "hi")).alias("first"))
     known = stored(known, "known")
     copies = known.filter("n > 1").select("a", "s", F.col("first.d").alias("d0"), F.col("first.lo").alias("lo0"))
     members = hits.join(copies, ["a", "s"])
+    members = members.select("d", "t", "d0", "lo0", (F.col("hi") - F.col("lo")).alias("more_starts"), F.explode(F.concat(F.array("lo"), "more")).alias("lo"))
     if keep_first:
         members = members.filter(~(F.col("d").eqNullSafe(F.col("d0")) & (F.col("lo") == F.col("lo0"))))
-    return hits, known, members.select("d", "t", "lo", "hi")
+    return hits, known, members.select("d", "t", "lo", (F.col("lo") + F.col("more_starts")).alias("hi"))
 
 
 def per_text(texts: DataFrame, runs: DataFrame) -> DataFrame:
