@@ -1,15 +1,21 @@
 """Near copies by similarity: pairs of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Pairs at 0.8 differ in about ten of 64 SimHash bits, out of reach of the Golay keys of :mod:`gazette.llm.op7_simhash`. Candidates
-therefore come from minima of the shingle hashes under ``BANDS`` x ``ROWS`` permutations: texts meet where all minima of a band are
-equal. A pair at 0.8 exactly shares no band with probability (1 - 0.8^5)^28 = 1.5e-5, more similar pairs with less.
-
-Every candidate pair is judged on its exact sets of shingles, and links become components by :mod:`gazette.llm.components`. All pairs of
-a band are candidates, but most need no look: in ``ROUNDS`` rounds each text is held against one text of its band, drawn anew in each
-round; after them, only pairs that are still in different components are compared, all of them.
-
-Cases: words are lower-cased (ASCII) and parted by white space; fewer words than a shingle give one shingle; texts without words are equal
-to each other; equal texts are one node, known by a 64-bit hash; a null id takes part but is never the smallest.
+Candidates come from two sources. First, the SimHash of each text over these shingles: pairs within the three bits that the Golay keys
+of :mod:`gazette.llm.op7_simhash` reach. But pairs at 0.8 differ in about ten of 64 bits (an angle of acos(8/9), 15 % of the bits), and
+no affordable number of wider fingerprints finds them all (README, "What a SimHash can find"). So, second, minima of the shingle
+hashes under ``BANDS`` x ``ROWS`` permutations: texts meet where all minima of a band are equal. A pair at 0.8 exactly shares no band
+with probability (1 - 0.8^5)^28 = 1.5e-5, more similar pairs with less.
+
+Every candidate pair is judged on its exact sets of shingles, and links become components by :mod:`gazette.llm.components`. In
+``ROUNDS`` rounds each text is held against one text of its band, drawn anew in each round. What then still shares a band with another
+component is joined by prefixes: two sets of similarity 0.8 share one of the rarest fifth of their shingles, by whichever common order.
+Shingles of one text alone can't be shared and come first in that order, so a text whose every fifth shingle is its own has no
+candidate at all: a large group of copies that all differ costs no pairs of its members. No pair is dropped.
+
+Cases: words are lower-cased (ASCII) and parted by white space; fewer words than a shingle give one shingle; null and empty texts and
+texts without words are equal to each other; equal texts are one node, known by a 64-bit hash; a null id takes part but is never the
+smallest; of rows equal in id and text one stays, the first by a hash of its other columns; a very long text is one set of hashes; an
+empty table gives no rows; columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -20,11 +26,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from gazette.llm.common import stored
 from gazette.llm.components import components
 from gazette.llm.kernels import chunks, mix64, string_buffers
-from gazette.llm.op7_simhash import shingle_hashes
+from gazette.llm.op7_simhash import links, shingle_hashes, simhash
 
 SHINGLE = 5
 BANDS = 28
@@ -37,6 +45,10 @@ _FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint
 _TERMS = _RANDOM.integers(0, 1 << 64, BANDS * ROWS, dtype=np.uint64)
 
 
+#: The set of a text without words.
+_NONE = np.zeros(1, dtype=np.uint64)
+
+
 def band_keys(h: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     """(texts, BANDS) keys from the shingle hashes of some texts; texts without shingles share all of theirs."""
     full = np.flatnonzero(per_text)
@@ -59,7 +71,8 @@ def _sketch(shingle: int) -> Callable:
                 h, per_text = shingle_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle)
                 keys = band_keys(h, per_text).view(np.int64)
                 ends = np.arange(last - first + 1, dtype=np.int32) * BANDS
-                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(first, last - first), "keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))})
+                columns = {"node": batch.column("node").slice(first, last - first), "fp": pa.array(simhash(h, per_text).view(np.int64))}
+                yield pa.RecordBatch.from_pydict(columns | {"keys": pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))})
 
     return run
 
@@ -70,7 +83,7 @@ def _sets(shingle: int) -> Callable:
             offsets, data = string_buffers(batch.column("text"))
             for first, last in chunks(offsets):
                 h, per_text = shingle_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle)
-                own = [np.unique(x) for x in np.split(h, np.cumsum(per_text)[:-1])]
+                own = [np.unique(x) if len(x) else _NONE for x in np.split(h, np.cumsum(per_text)[:-1])]
                 yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(first, last - first), "n": pa.array([len(x) for x in own], pa.int64()), "shingles": pa.array([x.tobytes() for x in own], pa.binary())})
 
     return run
@@ -102,57 +115,82 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """Pairs (x, y) of nodes with one fingerprint, and of nodes whose fingerprints the Golay keys link; each fingerprint has one spokesman."""
+    spokesmen = stored(prints.groupBy("fp").agg(F.min("node").alias("y")), "fingerprints")
+    same = prints.join(spokesmen, "fp").filter("node <> y").select(F.col("node").alias("x"), "y")
+    near = links(spokesmen).join(spokesmen.toDF("u", "x"), "u").join(spokesmen.toDF("v", "y"), "v").select("x", "y")
+    return same.unionByName(near)
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(len(batch)):
+            own = np.frombuffer(batch.column("shingles")[i].as_py(), dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(own), batch.column("node")[i].as_py())), "n": pa.array(np.full(len(own), len(own))), "key": pa.array(own)})
+
+
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """(node, key): the rarest shingles of each set, as many as two similar sets need to share one. Rarity is counted over ``sets``."""
+    each = stored(sets.mapInArrow(_flat, "node long, n long, key long"), "shingles")
+    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    own = Window.partitionBy("node")
+    ranked = each.join(common, "key").select("node", "n", "key", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count(F.lit(1)).over(own).alias("shared"))
+    least = F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1])  # a similar set shares as many at least
+    return ranked.filter(F.col("at") <= F.col("shared") - least + 1).select("node", "key")
+
+
 def near_components(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(node, root) for the nodes of ``texts`` (node, text) that are similar to another; root is the least node of the component."""
-    keys = texts.mapInArrow(_sketch(shingle), "node long, keys array<long>").dropDuplicates(["node"])
-    keys = stored(keys.select("node", F.explode("keys").alias("key")), "bands")
+    sketches = stored(texts.mapInArrow(_sketch(shingle), "node long, fp long, keys array<long>").dropDuplicates(["node"]), "sketches")
+    keys = sketches.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     bands = stored(keys.join(shared, "key"), "shared")
-    wanted = texts.join(bands.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    first = stored(_pairs(_by_fingerprint(sketches.select("node", "fp"))), "pairs")
+    wanted = bands.select("node").unionByName(first.select(F.col("u").alias("node"))).unionByName(first.select(F.col("v").alias("node"))).distinct()
+    wanted = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
     sets = stored(wanted.mapInArrow(_sets(shingle), "node long, n long, shingles binary"), "sets")
-    links = None
-    roots = bands.select("node", F.col("node").alias("root")).distinct()
-    judged = None
+    found = stored(_linked(first, sets), "links")
+    judged, known = first, stored(components(found), "components")
     for turn in range(ROUNDS + 1):
-        placed = bands.join(roots, "node")
+        nodes = bands.select("node").distinct()
+        if turn == ROUNDS:
+            bands = stored(_prefixes(sets.join(nodes, "node", "left_semi")), "prefixes")
+        placed = bands.join(known, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
         many = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
         bands = stored(placed.join(many, "key"), "open")
         drawn = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")
         if turn < ROUNDS:
             held = bands.groupBy("key").agg(F.min(drawn).alias("k")).select("key", F.col("k.node").alias("y"), F.col("k.root").alias("root_y"))
-            found = bands.withColumnRenamed("node", "x").join(held, "key").filter("root <> root_y")
+            met = bands.withColumnRenamed("node", "x").join(held, "key").filter("root <> root_y")
         else:
-            # The largest part of a band is held against the others, not against itself.
+            # The largest part of those that share a shingle is held against the others, not against itself.
             parts = bands.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
             main = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
             told = stored(bands.join(main, "key").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "parts")
             others = told.filter("not is_main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
             every = told.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), "is_main")
-            found = others.join(every, "key").filter("root_x <> root_y and (is_main or x < y)")
+            met = others.join(every, "key").filter("root_x <> root_y and (is_main or x < y)")
         bands = bands.drop("root")
-        pairs = _pairs(found)
-        pairs = stored(pairs.join(judged, ["u", "v"], "left_anti") if judged is not None else pairs, "pairs")
+        pairs = stored(_pairs(met).join(judged, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        judged = pairs if judged is None else judged.unionByName(pairs)
-        fresh = stored(_linked(pairs, sets), "links")
-        links = fresh if links is None else links.unionByName(fresh)
-        known = stored(components(links), "components")
-        roots = bands.select("node").distinct().join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    return known if links is not None else keys.select("node", F.col("node").alias("root")).limit(0)
+            continue
+        judged = judged.unionByName(pairs)
+        found = found.unionByName(stored(_linked(pairs, sets), "links"))
+        known = stored(components(found), "components")
+    return known
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """One row of docs, with all its columns, for each component of near copies: the one with the least id (null ids last)."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text, name = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    # A row is named by its id and two 64-bit hashes of its text; its columns travel in a struct, so that their names can't clash.
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    key = [name.isNull().alias("none"), F.coalesce(name, F.lit(0)).alias("d"), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("other")]
+    rows = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in plain)).alias("order"))
     found = near_components(docs.select(F.xxhash64(text).alias("node"), text.alias("text")), shingle)
-    rows = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(text).alias("node"), F.xxhash64(F.lit(1), text).alias("other"))
-    rooted = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # A row is named by its id and two 64-bit hashes of its text.
-    kept = rooted.groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("none"), "d", "node", "other")).alias("k")).select(F.col("k.d").alias("_d"), F.col("k.node").alias("_n"), F.col("k.other").alias("_o"))
-    own = docs.withColumns({"_own": F.xxhash64(text), "_own2": F.xxhash64(F.lit(1), text)})
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_n")) & (F.col("_own2") == F.col("_o"))
-    # Repeated rows have equal id and text; one of them stays.
-    return own.join(stored(kept, "kept"), same, "left_semi").dropDuplicates([id_col, "_own", "_own2"]).drop("_own", "_own2")
+    rooted = docs.select(*key).join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min(F.struct("none", "d", "node", "other")).alias("k")).select("k.*")
+    same = ["none", "d", "node", "other"]
+    stay = rows.join(stored(kept, "kept"), same, "left_semi").groupBy(*same).agg(F.min_by("row", "order").alias("row"))
+    return stay.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

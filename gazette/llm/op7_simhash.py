@@ -68,7 +68,11 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple
 
 def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
     """64-bit SimHash of each text of a chunk."""
-    h, per_text = shingle_hashes(data, offsets, shingle)
+    return simhash(*shingle_hashes(data, offsets, shingle))
+
+
+def simhash(h: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each text from the hashes of its shingles."""
     n = len(per_text)
     if not len(h):
         return np.zeros(n, dtype=np.uint64)
