@@ -33,23 +33,23 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-#: Shuffle files of a finished write serve no other query: with this setting Spark removes them at once, not when the driver collects garbage.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Shuffle files of a finished write serve no other query: with the first setting Spark removes them at once, not when the driver collects
+#: garbage. The second bounds what a Python worker holds of long rows.
+_SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, and survives the loss of executors."""
     spark = df.sparkSession
     path = scratch(spark, what)
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
+    before = {k: spark.conf.get(k) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(_CLEAN)
-        else:
-            spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

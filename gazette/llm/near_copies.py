@@ -7,7 +7,7 @@ hashes under ``BANDS`` x ``ROWS`` permutations: texts meet where all minima of a
 with probability (1 - 0.8^5)^28 = 1.5e-5, more similar pairs with less.
 
 Every candidate pair is judged on its exact sets of shingles, and links become components by :mod:`gazette.llm.components`. In
-``ROUNDS`` rounds each text is held against one text of its band, drawn anew in each round. What then still shares a band with another
+``ROUNDS`` rounds each text is held against the text of its band that has most links so far. What then still shares a band with another
 component is joined by prefixes: two sets of similarity 0.8 share one of the rarest fifth of their shingles, by whichever common order.
 Shingles of one text alone can't be shared and come first in that order, so a text whose every fifth shingle is its own has no
 candidate at all: a large group of copies that all differ costs no pairs of its members. No pair is dropped.
@@ -38,6 +38,7 @@ SHINGLE = 5
 BANDS = 28
 ROWS = 5
 ROUNDS = 3
+RARE = 16
 #: Similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
 _RANDOM = np.random.default_rng(20)
@@ -125,19 +126,36 @@ def _by_fingerprint(prints: DataFrame) -> DataFrame:
 
 def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for i in range(len(batch)):
-            own = np.frombuffer(batch.column("shingles")[i].as_py(), dtype=np.int64)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(np.full(len(own), batch.column("node")[i].as_py())), "n": pa.array(np.full(len(own), len(own))), "key": pa.array(own)})
+        for at in range(0, len(batch), 256):
+            part = batch.slice(at, 256)
+            offsets, data = string_buffers(part.column("shingles"))
+            size = np.diff(offsets) // 8
+            keys = np.frombuffer(data.tobytes(), dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(np.repeat(part.column("node").to_numpy(), size)), "n": pa.array(np.repeat(size, size)), "key": pa.array(keys)})
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(node, key): the rarest shingles of each set, as many as two similar sets need to share one. Rarity is counted over ``sets``."""
+    """(node, n, bound, shingle): the rarest shingles of each set, as many as two similar sets need to share one, and the size of the set.
+
+    Rarity is counted over ``sets``. Two sets that meet at a shingle have no more in common than the lesser ``bound``: the shingles that
+    other sets have too. Similar sets that share any rare shingle (in ``RARE`` sets at most) meet at a rare one, so where they meet at a
+    common one, rare shingles don't count.
+    """
     each = stored(sets.mapInArrow(_flat, "node long, n long, key long"), "shingles")
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = Window.partitionBy("node")
-    ranked = each.join(common, "key").select("node", "n", "key", F.row_number().over(own.orderBy("df", "key")).alias("at"), F.count(F.lit(1)).over(own).alias("shared"))
+    shared, often = F.count(F.lit(1)).over(own), F.count_if(F.col("df") > RARE).over(own)
+    bound = F.when(F.col("df") > RARE, often).otherwise(shared).alias("bound")
+    ranked = each.join(common, "key").select("node", "n", "key", F.row_number().over(own.orderBy("df", "key")).alias("at"), shared.alias("shared"), bound)
     least = F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1])  # a similar set shares as many at least
-    return ranked.filter(F.col("at") <= F.col("shared") - least + 1).select("node", "key")
+    return ranked.filter(F.col("at") <= F.col("shared") - least + 1).select("node", "n", "bound", F.col("key").alias("shingle"))
+
+
+def _unsettled(bands: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, key, root, ...): members of the bands that hold several components."""
+    placed = bands.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    many = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
+    return stored(placed.join(many, "key"), "open")
 
 
 def near_components(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -153,24 +171,25 @@ def near_components(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     found = stored(_linked(first, sets), "links")
     judged, known = first, stored(components(found), "components")
     for turn in range(ROUNDS + 1):
-        nodes = bands.select("node").distinct()
-        if turn == ROUNDS:
-            bands = stored(_prefixes(sets.join(nodes, "node", "left_semi")), "prefixes")
-        placed = bands.join(known, "node", "left").select("node", "key", F.coalesce("root", "node").alias("root"))
-        many = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-        bands = stored(placed.join(many, "key"), "open")
-        drawn = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")
+        bands = _unsettled(bands, known)
         if turn < ROUNDS:
-            held = bands.groupBy("key").agg(F.min(drawn).alias("k")).select("key", F.col("k.node").alias("y"), F.col("k.root").alias("root_y"))
+            # Those with most links so far come first: the text that a group of copies was made from has most.
+            links_of = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg((-F.count(F.lit(1))).alias("links"))
+            drawn = F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("node", F.lit(turn)), "node", "root")
+            held = bands.join(links_of, "node", "left").groupBy("key").agg(F.min(drawn).alias("k")).select("key", F.col("k.node").alias("y"), F.col("k.root").alias("root_y"))
             met = bands.withColumnRenamed("node", "x").join(held, "key").filter("root <> root_y")
         else:
-            # The largest part of those that share a shingle is held against the others, not against itself.
-            parts = bands.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+            rare = stored(_prefixes(sets.join(bands.select("node").distinct(), "node", "left_semi")), "prefixes")
+            both = bands.drop("root").join(rare, "node").withColumn("key", F.xxhash64("key", "shingle")).drop("shingle")
+            both = _unsettled(both, known)
+            # The largest part of those that share band and shingle is held against the others, not against itself.
+            parts = both.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
             main = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-            told = stored(bands.join(main, "key").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "parts")
-            others = told.filter("not is_main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"))
-            every = told.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), "is_main")
-            met = others.join(every, "key").filter("root_x <> root_y and (is_main or x < y)")
+            told = stored(both.join(main, "key").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "parts")
+            others = told.filter("not is_main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("bound").alias("bound_x"))
+            every = told.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("bound").alias("bound_y"), "is_main")
+            enough = F.least("bound_x", "bound_y") * sum(SIMILAR) >= (F.col("n_x") + F.col("n_y")) * SIMILAR[0]
+            met = others.join(every, "key").filter("root_x <> root_y and (is_main or x < y)").filter(enough)
         bands = bands.drop("root")
         pairs = stored(_pairs(met).join(judged, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
