@@ -21,9 +21,10 @@ def cycles(dated: DataFrame) -> DataFrame:
     NULL where fewer than three days are known. Halves round to even.
     """
     enough = F.col("n_days") >= MIN_CYCLE
-    out = gaps(dated.filter("day is not null")).groupBy("subject").agg(
+    ranked = gaps(dated.filter("day is not null")).withColumn("_r", F.row_number().over(Window.partitionBy("subject").orderBy("day")))
+    out = ranked.groupBy("subject").agg(
         F.count(F.lit(1)).alias("n_days"), F.median("gap").alias("_m"), F.stddev_pop("gap").alias("_s"), F.max("day").alias("_last"), F.min("day").alias("first_day"),
-        F.slice(F.transform(F.array_sort(F.collect_list(F.struct("day", F.coalesce("gap", F.lit(-1)).alias("gap")))), lambda x: x["gap"]), 2, 8).alias("first_gaps"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("_r").between(2, 9), F.struct("_r", "gap")))), lambda x: x["gap"]).alias("first_gaps"),
     )
     confidence = F.when(F.col("_s") < F.col("_m") * 0.20, "high").when(F.col("_s") < F.col("_m") * 0.45, "medium").otherwise("low")
     cycle = F.bround("_m", 0).cast("int")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Fields that an update may change.
-MUTABLE = ("tender_title", "issuing_authority", "department", "publication_date", "submission_deadline", "closing_time", "tender_status", "contract_period", "estimated_value", "currency", "tender_fee", "bid_bond", "therapeutic_area", "priority", "content_hash")
+#: Fields that an update may change.
+MUTABLE = ("tender_title", "issuing_authority", "department", "publication_date", "submission_deadline", "closing_time", "tender_status", "contract_period", "estimated_value", "currency", "tender_fee", "bid_bond", "therapeutic_area", "priority", "tender_page_url")
 
 
 def incoming(c: Column) -> Column:
@@ -24,8 +24,8 @@ def changed(matched: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.filter(moved).drop("_before"), both.filter(~moved).drop("_before")
 
 
-def upsert(old: DataFrame, updates: DataFrame, fields=MUTABLE) -> DataFrame:
-    """Old rows with the updates' filled fields (by id), and rows that are new, in one outer join."""
+def upsert(old: DataFrame, updates: DataFrame, fields=(*MUTABLE, "content_hash")) -> DataFrame:
+    """Old rows with the updates' filled fields (by id), and rows that are new, in one outer join. Ids of the updates are distinct."""
     fields = [f for f in fields if f in old.columns and f in updates.columns]
     new = updates.select(*(F.col(c).alias(f"_{c}") for c in updates.columns))
     both = old.join(new, old.id == new["_id"], "full")
@@ -42,6 +42,21 @@ def change_feed(old: DataFrame, updates: DataFrame, fields=MUTABLE) -> DataFrame
     return rows.filter(F.col("new_value").isNotNull() & ~F.col("old_value").eqNullSafe(F.col("new_value")))
 
 
+def unknown(links: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The distinct links that aren't among those known."""
+    return links.select(key).distinct().join(known.select(key), key, "left_anti")
+
+
+def history(changes: DataFrame) -> DataFrame:
+    """A change feed in the order in which its rows came."""
+    return changes.orderBy("id")
+
+
+def review_order(tenders: DataFrame) -> DataFrame:
+    """Flagged notices, the ones seen last first."""
+    return tenders.filter("needs_review").orderBy(F.desc("last_seen"), "id")
+
+
 def replace_children(old: DataFrame, new: DataFrame, key: str = "tender_id") -> DataFrame:
     """All new children, and the old ones of parents that have no new ones."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gazette.operators import tracker
+from gazette.operators import merge, tracker
 from gazette.plans.params import ScreenParams
 from gazette.queries import query
 from gazette.queries.reports import JOINED, OPEN
@@ -166,10 +166,10 @@ def u01_union_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.filter("p_partkey % 2 = 0").withColumn("source", F.lit("drug")).unionByName(p.filter("p_partkey % 3 = 0").withColumn("source", F.lit("food")))
 
 
-@query("SELECT s_suppkey AS link FROM supplier EXCEPT SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49")
+@query("SELECT p_partkey AS link FROM part EXCEPT SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 49")
 def u04_new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, known = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("link")), read(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("link"))
-    return s.join(known, "link", "left_anti").distinct()
+    links, known = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("link")), read(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_partkey").alias("link"))
+    return merge.unknown(links, known, "link")
 
 
 @query(with_views("SELECT 'product' AS subject_type, count(DISTINCT generic_name) AS n FROM items UNION ALL SELECT 'authority', count(DISTINCT issuing_authority) FROM tenders"))

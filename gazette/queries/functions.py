@@ -46,13 +46,14 @@ _DATE = ("yyyy-MM-dd", "dd/MM/yyyy", "d-M-yyyy", "dd.MM.yyyy", "d MMM yyyy", "MM
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS parsed,
   CASE WHEN o_orderkey % 7 = 6 THEN NULL ELSE date_diff('day', DATE '1998-06-15', CAST(o_orderdate AS DATE)) END AS days_left,
-  concat(lpad(CAST(CASE WHEN o_orderkey % 12 = 0 AND o_orderkey % 2 = 0 THEN 12 ELSE o_orderkey % 12 + 0 END + CASE WHEN o_orderkey % 2 = 1 AND o_orderkey % 12 < 12 THEN 12 ELSE 0 END AS VARCHAR), 2, '0'), ':', lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0')) AS at
-FROM orders WHERE o_orderkey % 12 <> 0""")
+  concat(lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0'), ':', lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0')) AS at
+FROM orders""")
 def f06_dates_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, k = read(spark, sf_dir, "orders").filter("o_orderkey % 12 <> 0"), F.col("o_orderkey")
+    o, k = read(spark, sf_dir, "orders"), F.col("o_orderkey")
     forms = [F.when(k % 7 == i, F.concat(F.lit("Closing: "), F.date_format("o_orderdate", form), F.lit(" 10:30 AM"))) for i, form in enumerate(_DATE)]
     written = F.coalesce(*forms, F.lit("31/02/1999 to be fixed"))
-    clock = F.concat((k % 12).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.when(k % 2 == 1, " PM").otherwise("am"))
+    hour = F.when(k % 12 == 0, 12).otherwise(k % 12)  # noon is 12 PM, midnight 12 am
+    clock = F.concat(hour.cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"), F.when(k % 24 >= 12, " PM").otherwise("am"))
     out = o.select("o_orderkey", parse.parse_date(written).alias("parsed"), parse.parse_time(clock).alias("at"))
     return out.select("o_orderkey", "parsed", parse.days_until(F.col("parsed"), F.to_date(F.lit(AS_OF))).cast("long").alias("days_left"), "at")
 

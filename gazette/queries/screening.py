@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gazette.functions.text import fold
 from gazette.operators import extract
-from gazette.operators.classify import SIGNALS, oncology_score, with_area, with_evidence, with_verdict
+from gazette.operators.classify import SIGNALS, classify_items, oncology_score, with_area, with_evidence, with_verdict
+from gazette.operators.headers import completeness, guess_fields
 from gazette.operators.lexicon import compiled, hits, stem_hits
 from gazette.plans.params import ScreenParams
 from gazette.queries import query
@@ -109,7 +110,7 @@ def s05_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS reference, event_type AS subject, CAST(ts AS DATE) AS publication_date, value AS estimated_value, 'KWD' AS currency FROM events")
 def s02_json_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    raw = e.groupBy(F.pmod("event_id", F.lit(97)).alias("page")).agg(F.collect_list(F.struct(F.from_json("props", "k long")["k"].alias("ref"), F.col("event_type").alias("name"), F.date_format("ts", "dd/MM/yyyy HH:mm").alias("day"), F.concat(F.lit("KWD "), F.col("value").cast("string")).alias("amount"))).alias("rows"))
+    raw = e.groupBy(F.floor(F.col("event_id") / 500).alias("page")).agg(F.collect_list(F.struct(F.from_json("props", "k long")["k"].alias("ref"), F.col("event_type").alias("name"), F.date_format("ts", "dd/MM/yyyy HH:mm").alias("day"), F.concat(F.lit("KWD "), F.col("value").cast("string")).alias("amount"))).alias("rows"))
     nested = raw.select(F.struct("rows").alias("data"))
     return extract.json_listings(nested, "data.rows", {"reference": "ref", "subject": "name", "publication_date": "day", "estimated_value": "amount"})
 
@@ -153,3 +154,38 @@ def m14_items_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.col("item_no").cast("string"), F.lit(". "), "product_name", F.lit("   "), F.format_number("quantity", 0), F.lit(" vials"))
     text = F.concat(F.lit("Annual list\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\nend"))
     return extract.items_of_text(i.groupBy("tender_id").agg(text.alias("text"))).select("tender_id", "row", "product_name", "quantity", "unit", "needs_review")
+
+
+TURNS = "WITH d AS (SELECT concat(conv_id, '-', turn) AS doc_id, " + fold_sql("concat_ws(' ', role, text)") + " AS f FROM conversations)"
+
+
+@query(VERDICT.replace(FOLDED, TURNS) + " SELECT doc_id AS item_id, therapeutic_area, is_oncology FROM p")
+def c12_item_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as line items: role and text are their values."""
+    items = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("item_id"), "role", "text")
+    return classify_items(items, PROSE).select("item_id", "therapeutic_area", "is_oncology")
+
+
+@query("""
+SELECT p_brand AS source, count(*) AS n_rows, count(*) FILTER (WHERE p_partkey % 9 = 0) AS n_no_manufacturer, count(*) FILTER (WHERE p_size % 5 = 0) AS n_no_pack, count(*) FILTER (WHERE p_partkey % 4 = 1) AS n_no_price,
+  count(*) FILTER (WHERE p_partkey % 11 = 3) AS n_unread FROM part GROUP BY p_brand""")
+def p10_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    products = p.select(F.col("p_brand").alias("source"), F.when(k % 11 != 3, F.col("p_name")).alias("product_name"), F.when(k % 9 == 0, "").otherwise(F.col("p_type")).alias("manufacturer"), F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("pack_qty"), F.when(k % 4 != 1, F.col("p_retailprice")).alias("retail_price"))
+    return completeness(products)
+
+
+@query()
+def j14_fuzzy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product names as headers: some as they are, some with a letter missing or in capitals, some backwards; a test holds the operator against a loop."""
+    p, k = read(spark, sf_dir, "part"), F.col("p_partkey")
+    name = F.col("p_name")
+    header = F.when(k % 4 == 0, name).when(k % 4 == 1, F.concat(F.substring(name, 1, 3), F.expr("substring(p_name, 5)"))).when(k % 4 == 2, F.upper(name)).otherwise(F.reverse(name))
+    return guess_fields(p.select(header.alias("header")), p.select(name.alias("alias"), F.concat(F.lit("field "), name).alias("field")))
+
+
+@query(with_views("SELECT id, publication_date AS last_seen FROM tenders WHERE needs_review"))
+def l07_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazette.operators.merge import review_order
+
+    return review_order(tenders(spark, sf_dir).withColumn("last_seen", F.col("publication_date"))).select("id", "last_seen")

@@ -44,7 +44,7 @@ def test_three_cycles(spark):
     assert seen[0][:4] == (5, 4, 0, 0) and seen[1] == (5, 0, 0, 4, [])
     listings, new, updated, duplicates, changes = seen[2]
     assert (listings, new, updated, duplicates) == (7, 1, 1, 4)
-    assert ("submission_deadline", "2026-02-10", "2026-02-24") in changes and {f for f, *_ in changes} == {"submission_deadline", "content_hash"}
+    assert ("submission_deadline", "2026-02-10", "2026-02-24") in changes and {f for f, *_ in changes} == {"submission_deadline", "tender_page_url"}
     assert state.count() == 5 and state.filter("tender_number = 'T/1'").first().submission_deadline == date(2026, 2, 24)
     names = sorted(r.product_name for r in items.collect())
     assert names == ["Amoxicillin 500 mg", "Carboplatin 450 mg", "Imatinib tablets", "Supply of Zanubrutinib", "توريد أدوية الأورام"]
