@@ -23,6 +23,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     elif context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     if named is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(named)
     return named

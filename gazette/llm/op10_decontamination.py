@@ -7,10 +7,13 @@ belongs to no pattern, the search skips ahead as far as no occurrence can be mis
 search runs over many lanes of a chunk at once, each lane a stretch of words of one length that overlaps the next by a pattern.
 
 Words are compared exactly: each word of the benchmark has a number, found by its bytes. Patterns are broadcast in parts of at most
-``PATTERNS`` (a proven bound); a larger benchmark makes several passes over the documents, each with its own part.
+``PATTERNS``: items are packed one after another until a part is full, and an item with more windows than that is cut into stretches that
+overlap by a window less one word. A larger benchmark makes several passes over the documents, one part at a time; each pass but the
+last is written before the next begins, so that a task holds the tables of one part.
 
 Cases: null and empty texts have no words and are clean; items without words have no pattern; repeated items count each under its
-id, items with the same id once; an item with a null id marks hits in the query and in the pipeline, but is never listed; repeated rows are each judged; only the id and text columns are read.
+id, items with the same id once; an item with a null id marks hits in the query and in the pipeline, but is never listed; repeated rows are each judged;
+a very long text is searched as a whole; empty tables give no rows, or clean ones; only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -20,10 +23,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.llm.common import rows_where, table
+from gazette.llm.common import rows_where, stored, table
 from gazette.llm.kernels import LOWER, chunks, mix64, string_buffers, word_bounds, word_hashes
 
 WINDOW = 10
@@ -195,31 +199,68 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _broadcasts(benchmark: DataFrame, patterns: int, unnamed: bool = True) -> Iterator:
-    """The items in parts, each within the bound; those with a null id only where ``unnamed`` is set."""
+def _packed(window: int, most: int) -> Callable:
+    """Numbers parts inside a partition; the windows of a part are ``most`` at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        partition, part, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                words = split(text.encode())
+                for at in range(0, max(len(words) - window + 1, min(len(words), 1)), most):
+                    stretch = words[at : at + most + window - 1]
+                    n = max(len(stretch) - window + 1, 1)
+                    if held + n > most:
+                        part, held = part + 1, 0
+                    held += n
+                    yield pa.RecordBatch.from_pydict({"part": [f"{partition}-{part}"], "item": pa.array([item], pa.string()), "text": pa.array([b" ".join(stretch)], pa.binary())})
+
+    return run
+
+
+def _broadcasts(benchmark: DataFrame, window: int, patterns: int, unnamed: bool = True) -> list:
+    """One thunk for each part of the items, which makes its broadcast; items with a null id count only where ``unnamed`` is set."""
     spark = benchmark.sparkSession
     known = benchmark if unnamed else benchmark.filter(F.col("item_id").isNotNull())
     sized = known.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    # An item of n bytes has n / 2 windows at most, so parts by bytes keep every broadcast within the bound.
+    # An item of n bytes has n / 2 windows at most.
     total = sized.agg(F.sum(F.octet_length("text") / 2 + 1)).first()[0] or 0
-    parts = max(1, -(-int(total) // patterns))
-    for part in range(parts):
-        own = sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else sized
-        yield spark.sparkContext.broadcast((uuid.uuid4().hex, [(r.item, r.text.encode()) for r in own.toLocalIterator()]))
+    dealt = sized.coalesce(1) if total <= patterns else sized.repartition(-(-int(total) // patterns))
+    packed = stored(dealt.mapInArrow(_packed(window, patterns), "part string, item string, text binary"), "items")
+    # A few names for each part of PATTERNS windows reach the driver.
+    parts = sorted(r.part for r in packed.select("part").distinct().toLocalIterator())
+
+    def made(part: str):
+        rows = packed.filter(F.col("part") == part).toLocalIterator()
+        return spark.sparkContext.broadcast((uuid.uuid4().hex, [(r["item"], bytes(r["text"])) for r in rows]))
+
+    return [lambda part=part: made(part) for part in parts]
+
+
+def _passes(docs: DataFrame, parts: list, step: Callable[[DataFrame, object], DataFrame]) -> DataFrame:
+    """``step`` for one part after the other; all but the last are written, and their broadcast goes."""
+    for i, part in enumerate(parts):
+        broadcast = part()
+        docs = step(docs, broadcast)
+        if i + 1 < len(parts):
+            docs = stored(docs, "pass")
+            broadcast.unpersist()
+    return docs
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, patterns: int = PATTERNS) -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark window occurs."""
-    for broadcast in _broadcasts(benchmark, patterns):
 
-        def marks(column: pa.Array, broadcast=broadcast) -> Iterator[tuple[int, np.ndarray]]:
+    def step(docs: DataFrame, broadcast) -> DataFrame:
+        def marks(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             for first, starts, found in occurrences(_tables(broadcast, window), column):
                 kept = np.ones(len(starts) - 1, dtype=bool)
                 kept[[text for text, *_ in found]] = False
                 yield first, kept
 
-        docs = rows_where(docs, text_col, marks)
-    return docs
+        return rows_where(docs, text_col, marks)
+
+    return _passes(docs, _broadcasts(benchmark, window, patterns), step)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, patterns: int = PATTERNS, keep_text: bool = False, unnamed: bool = False) -> DataFrame:
@@ -230,8 +271,9 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     none = F.array().cast("array<struct<begin: bigint, end: bigint>>")
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_words"), none.alias("hits"), F.array().cast("array<string>").alias("items"), text.alias("text"))
-    for broadcast in _broadcasts(benchmark, patterns, unnamed):
-        found = found.mapInArrow(_search(broadcast, window), _OUT)
+    none_at_all = [lambda: docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, []))]
+    parts = _broadcasts(benchmark, window, patterns, unnamed) or none_at_all
+    found = _passes(found, parts, lambda df, broadcast: df.mapInArrow(_search(broadcast, window), _OUT))
     return found if keep_text else found.drop("text")
 
 

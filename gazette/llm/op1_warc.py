@@ -223,8 +223,8 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kind, declared, length = batch.column("kind").to_pylist(), batch.column("digest").to_pylist(), batch.column("length").to_pylist()
         whole, payloads = batch.column("whole").to_pylist(), []
-        for i, block in enumerate(batch.column("block")):
-            payloads.append(payload_of(block.as_py()) if kind[i] == "response" and whole[i] else None)
+        for i, pieces in enumerate(batch.column("pieces")):
+            payloads.append(payload_of(b"".join(pieces.as_py())) if kind[i] == "response" and whole[i] else None)
         good = [k == "revisit" or p is not None for k, p in zip(kind, payloads)]
         columns = {k: batch.column(k) for k in ("page_id", "url", "kind", "refers_to")}
         columns |= {"payload": pa.array(payloads, pa.binary()), "bytes": pa.array([len(p) if p is not None else n if k == "revisit" else None for p, n, k in zip(payloads, length, kind)], pa.int64())}
@@ -239,14 +239,15 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
     parsed = stored(files.mapInArrow(_read, _RECORD), "records")
-    names = ["page_id", "url", "kind", "refers_to", "digest", "length", "block", "whole"]
-    single = parsed.filter("origin is null").withColumn("whole", F.lit(True)).select(names)
+    names = ["page_id", "url", "kind", "refers_to", "digest", "length", "pieces", "whole"]
+    single = parsed.filter("origin is null").withColumn("whole", F.lit(True)).withColumn("pieces", F.array("block")).select(names)
     first = lambda c: F.max(F.when(F.col("number") == 1, F.col(c))).alias(c)
     parts = F.sort_array(F.collect_list(F.struct("number", "block")))
     grouped = parsed.filter("origin is not null").groupBy("origin").agg(*(first(c) for c in names[:6]), F.max("total").alias("total"), parts.alias("parts"))
-    joined = grouped.withColumn("block", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.block))"))
+    # The segments are joined once, in the task that decodes them.
+    joined = grouped.withColumn("pieces", F.expr("transform(parts, x -> x.block)")).withColumn("size", F.expr("aggregate(parts, 0L, (a, x) -> a + octet_length(x.block))"))
     ordered = F.expr("transform(parts, x -> x.number) = sequence(1, size(parts))")
-    reassembled = joined.withColumn("whole", F.coalesce(ordered & (F.octet_length("block") == F.col("total")), F.lit(False))).withColumn("kind", F.coalesce("kind", F.lit("response")))
+    reassembled = joined.withColumn("whole", F.coalesce(ordered & (F.col("size") == F.col("total")), F.lit(False))).withColumn("kind", F.coalesce("kind", F.lit("response")))
     schema = "page_id long, url string, kind string, refers_to long, payload binary, bytes long, digest string, complete boolean"
     return single.unionByName(reassembled.select(names)).mapInArrow(_decode, schema)
 

@@ -1,4 +1,7 @@
-"""Token-ID output: Arrow stream files of fixed-size-list batches, for zero-copy random access to equal-length sequences and masks.
+"""Token-ID output: Arrow files of fixed-size-list batches, for zero-copy random access to equal-length sequences and masks.
+
+The files are in Arrow's IPC file format, which is its stream of record batches closed by a footer with the place of each batch: a reader
+maps a file and takes any batch without reading those before it, which the bare stream format doesn't allow.
 
 Documents are dealt by ranges of their id and sorted, encoded, closed with an end id and written one after another. A file holds record
 batches of ``rows`` sequences of ``length`` ids each, and masks that are true for ids and false for the padding of a file's last
@@ -7,7 +10,8 @@ and slices it. A manifest tells for each file the documents and their numbers of
 and moved into place when complete, so a task that runs again replaces its own files.
 
 Cases: null and empty texts have the end id alone; null ids come first; rows with the same id are ordered by a hash of their text;
-a document longer than a file gets one to itself; columns other than id and text are not read.
+a document longer than a file ends it; a very long text is one
+row and may span many batches; an empty table gives no file and no rows; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -169,18 +173,18 @@ def _read(folder: str) -> Callable:
                 ends = np.cumsum(sizes)
                 crcs = []
                 reader = open_sequences(folder, batch.column("path")[row].as_py())
-                flat: list[np.ndarray] = []
-                have = at = k = 0
+                k = at = have = 0
                 for n in sizes.tolist():
-                    while have - at < n:
-                        part = reader.get_batch(k)
-                        ids, mask = part.column("ids").flatten(), part.column("mask").flatten()
-                        piece = ids.to_numpy()
-                        flat = [np.concatenate(flat)[at:] if flat else piece[:0], piece[: mask.true_count] if hasattr(mask, "true_count") else piece[mask.to_numpy(zero_copy_only=False)]]
-                        have, at, k = len(flat[0]) + len(flat[1]), 0, k + 1
-                        flat = [np.concatenate(flat)]
-                    crcs.append(zlib.crc32(flat[0][at : at + n].astype("<u4").tobytes()))
-                    at += n
+                    crc = 0
+                    while n:
+                        if at == have:  # the next batch, mapped and not copied; its mask ends where the padding starts
+                            part = reader.get_batch(k)
+                            ids = part.column("ids").flatten().to_numpy()
+                            k, at, have = k + 1, 0, int(part.column("mask").flatten().to_numpy(zero_copy_only=False).sum())
+                        some = min(n, have - at)
+                        crc = zlib.crc32(ids[at : at + some].astype("<u4").tobytes(), crc)
+                        at, n = at + some, n - some
+                    crcs.append(crc)
                 start = batch.column("start")[row].as_py() + ends - sizes
                 yield pa.RecordBatch.from_pydict({"doc_id": docs, "start": pa.array(start), "n_tokens": pa.array(sizes), "ids_crc32": pa.array(crcs, pa.int64())})
 
@@ -189,7 +193,9 @@ def _read(folder: str) -> Callable:
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """One row for each document, from the files: doc_id, start, n_tokens (with the end id) and the CRC-32 of its ids as 32-bit integers."""
-    return manifest.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A row of the manifest is small, the file behind it is not: deal files, not bytes of the manifest.
+    dealt = manifest.repartition(max(1, manifest.count()))
+    return dealt.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
