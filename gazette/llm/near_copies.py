@@ -7,10 +7,11 @@ hashes under ``BANDS`` x ``ROWS`` permutations: texts meet where all minima of a
 with probability (1 - 0.8^5)^28 = 1.5e-5, more similar pairs with less.
 
 Every candidate pair is judged on its exact sets of shingles, and links become components by :mod:`gazette.llm.components`. In
-``ROUNDS`` rounds each text is held against the text of its band that has most links so far. What then still shares a band with another
-component is joined by prefixes: two sets of similarity 0.8 share one of the rarest fifth of their shingles, by whichever common order.
-Shingles of one text alone can't be shared and come first in that order, so a text whose every fifth shingle is its own has no
-candidate at all: a large group of copies that all differ costs no pairs of its members. No pair is dropped.
+``ROUNDS`` rounds each text is held against the text of its band that has most links so far. Texts that then still share a band with
+another component are joined by prefixes: sets are put in one common order, rarest shingle first, and two sets of similarity 0.8 meet
+at the first shingle they share, with enough left behind it on both sides. Shingles of one text alone can't be shared and come first,
+so a text whose every fifth shingle is its own has no candidate at all: a large group of copies that all differ costs no pairs of its
+members. No pair is dropped.
 
 Cases: words are lower-cased (ASCII) and parted by white space; fewer words than a shingle give one shingle; null and empty texts and
 texts without words are equal to each other; equal texts are one node, known by a 64-bit hash; a null id takes part but is never the
@@ -37,8 +38,7 @@ from gazette.llm.op7_simhash import links, shingle_hashes, simhash
 SHINGLE = 5
 BANDS = 28
 ROWS = 5
-ROUNDS = 3
-RARE = 16
+ROUNDS = 1
 #: Similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
 _RANDOM = np.random.default_rng(20)
@@ -135,20 +135,17 @@ def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """(node, n, bound, shingle): the rarest shingles of each set, as many as two similar sets need to share one, and the size of the set.
+    """(node, n, key, bound): the rarest shingles of each set, as many as two similar sets need to share one, and the size of the set.
 
-    Rarity is counted over ``sets``. Two sets that meet at a shingle have no more in common than the lesser ``bound``: the shingles that
-    other sets have too. Similar sets that share any rare shingle (in ``RARE`` sets at most) meet at a rare one, so where they meet at a
-    common one, rare shingles don't count.
+    Rarity is counted over ``sets``; ``bound`` is how many shingles that others have too are left from here on in that order. Where two
+    sets meet at the first shingle they share, they have no more in common than the lesser bound.
     """
     each = stored(sets.mapInArrow(_flat, "node long, n long, key long"), "shingles")
     common = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     own = Window.partitionBy("node")
-    shared, often = F.count(F.lit(1)).over(own), F.count_if(F.col("df") > RARE).over(own)
-    bound = F.when(F.col("df") > RARE, often).otherwise(shared).alias("bound")
-    ranked = each.join(common, "key").select("node", "n", "key", F.row_number().over(own.orderBy("df", "key")).alias("at"), shared.alias("shared"), bound)
-    least = F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1])  # a similar set shares as many at least
-    return ranked.filter(F.col("at") <= F.col("shared") - least + 1).select("node", "n", "bound", F.col("key").alias("shingle"))
+    left = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("df", "key")) + 1
+    ranked = each.join(common, "key").select("node", "n", "key", left.alias("bound"))
+    return ranked.filter(F.col("bound") >= F.ceil(F.col("n") * SIMILAR[0] / SIMILAR[1]))  # a similar set shares as many at least
 
 
 def _unsettled(bands: DataFrame, known: DataFrame) -> DataFrame:
@@ -179,10 +176,8 @@ def near_components(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             held = bands.join(links_of, "node", "left").groupBy("key").agg(F.min(drawn).alias("k")).select("key", F.col("k.node").alias("y"), F.col("k.root").alias("root_y"))
             met = bands.withColumnRenamed("node", "x").join(held, "key").filter("root <> root_y")
         else:
-            rare = stored(_prefixes(sets.join(bands.select("node").distinct(), "node", "left_semi")), "prefixes")
-            both = bands.drop("root").join(rare, "node").withColumn("key", F.xxhash64("key", "shingle")).drop("shingle")
-            both = _unsettled(both, known)
-            # The largest part of those that share band and shingle is held against the others, not against itself.
+            both = _unsettled(_prefixes(sets.join(bands.select("node").distinct(), "node", "left_semi")), known)
+            # The largest part of those that share a shingle is held against the others, not against itself.
             parts = both.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
             main = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
             told = stored(both.join(main, "key").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "parts")
