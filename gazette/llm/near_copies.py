@@ -163,7 +163,8 @@ def near_components(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     bands = stored(keys.join(shared, "key"), "shared")
     first = stored(_pairs(_by_fingerprint(sketches.select("node", "fp"))), "pairs")
     wanted = bands.select("node").unionByName(first.select(F.col("u").alias("node"))).unionByName(first.select(F.col("v").alias("node"))).distinct()
-    wanted = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    # Equal texts become one row in each task before the shuffle: a large group of copies isn't dealt to one task.
+    wanted = texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
     sets = stored(wanted.mapInArrow(_sets(shingle), "node long, n long, shingles binary"), "sets")
     found = stored(_linked(first, sets), "links")
     judged, known = first, stored(components(found), "components")
