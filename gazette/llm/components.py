@@ -22,9 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Written first: a join with an aggregate can't split a node that holds many links, a join with a table can.
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        large = stored(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        near = stored(large.groupBy("u").agg(F.min("v").alias("m")), "near")
         moved = large.join(near, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(moved.unionByName(near.withColumnRenamed("m", "v")).distinct(), "edges")
         after = _state(edges)

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from gazette.llm import op1_warc, op2_suffix_dedup, op3_bpe, op4_url_filter, op5_substring_dedup, op6_host_rules, op7_simhash, op8_token_files, op9_quality_classifier, op10_decontamination
+from gazette.llm import op1_warc, op2_suffix_dedup, op3_bpe, op4_url_filter, op5_substring_dedup, op6_host_rules, op7_simhash, op8_token_files, op9_quality_classifier, op10_decontamination, op11_embedding_near_dedup, op12_hard_negatives, op13_spelling_variants
 
-_MODULES = (op1_warc, op2_suffix_dedup, op3_bpe, op4_url_filter, op5_substring_dedup, op6_host_rules, op7_simhash, op8_token_files, op9_quality_classifier, op10_decontamination)
+_MODULES = (op1_warc, op2_suffix_dedup, op3_bpe, op4_url_filter, op5_substring_dedup, op6_host_rules, op7_simhash, op8_token_files, op9_quality_classifier, op10_decontamination, op11_embedding_near_dedup, op12_hard_negatives, op13_spelling_variants)
 
 
 def _name(module) -> str:
