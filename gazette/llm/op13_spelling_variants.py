@@ -1,6 +1,6 @@
 """Spelling variant grouping by k-d trees over letter counts.
 
-A word is a point: how often it has each letter (the 26 letters and six folds of the accented ones). An inserted letter raises one
+A word is a point: how often it has each letter (the 26 letters and six folds of the accented ones; none, once, or more often). An inserted letter raises one
 coordinate by one; a replaced letter raises one and lowers one: the points of words one edit apart lie within an L1 distance of two. Words
 are searched for each pair of lengths, (L, L) and (L, L + 1), so that the shorter word asks and the longer one is held, and a box is pruned
 if it can only be reached by more than one step up, or by more than one step down (none for an inserted letter).
@@ -35,11 +35,13 @@ LEAST_LENGTH, LEAST_COUNT, SLIP, RATIO = 5, 3, 97, 2
 #: Letters have coordinates of their own, other code points share FOLDS: folding brings points nearer, never farther.
 FOLDS = 6
 DIMS = 26 + FOLDS
+#: Letters beyond the second of a kind don't count: that, too, brings points nearer only, and a point fits 64 bits.
+MOST = 2
 #: Words that the upper levels are fitted on, their longest length, words a cell should hold, words of a block that are held and that ask.
 SAMPLE, SAMPLE_LENGTH, CELL, HELD, ASKED = 65_536, 64, 2_048, 4_096, 32_768
 #: Cells of lengths that the sample lacks.
 SPARE = 1_024
-_LEAF = 24
+_LEAF = 64
 
 
 def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,25 +58,32 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def letter_counts(encoded: list[bytes]) -> np.ndarray:
-    """One row of letter counts for each word (Latin-1)."""
+    """One row of letter counts for each word (Latin-1), up to MOST of a letter."""
     data = np.frombuffer(b"".join(encoded), dtype=np.uint8).astype(np.int64)
     dim = np.where((data >= 97) & (data <= 122), data - 97, 26 + data % FOLDS)
     owner = np.repeat(np.arange(len(encoded)), [len(w) for w in encoded])
-    return np.bincount(owner * DIMS + dim, minlength=len(encoded) * DIMS).reshape(len(encoded), DIMS).astype(np.int32)
+    counts = np.bincount(owner * DIMS + dim, minlength=len(encoded) * DIMS).reshape(len(encoded), DIMS)
+    return np.minimum(counts, MOST).astype(np.int8)
+
+
+def steps(points: np.ndarray) -> np.ndarray:
+    """Points as 64 bits, as many for each coordinate as it counts: a step up or down sets or clears one bit."""
+    bits = np.concatenate([points >= 1, points >= 2], axis=1)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 class Tree:
     """A k-d tree over letter counts: medians of the widest coordinate, boxes for pruning, rows in the leaves.
 
-    With ``tight`` a box is the bounding box of its rows; without, it is the region of the splits, which also holds rows not seen so far.
+    Corners of boxes are held as steps. With ``tight`` a box is the bounding box of its rows; without, it is the region of the splits, which
+    also holds rows not seen so far.
     """
 
     def __init__(self, points: np.ndarray, leaf: int, tight: bool):
         self._points, self._leaf, self._tight = points, leaf, tight
         self.nodes: list[tuple] = []
         self.leaves: list[np.ndarray] = []
-        far = np.int32(1 << 30)
-        self._build(np.arange(len(points)), np.zeros(DIMS, dtype=np.int32), np.full(DIMS, far))
+        self._build(np.arange(len(points)), np.zeros(DIMS, dtype=np.int8), np.full(DIMS, MOST, dtype=np.int8))
         del self._points
 
     def _build(self, rows: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> int:
@@ -83,9 +92,10 @@ class Tree:
             lo, hi = own.min(axis=0), own.max(axis=0)
         me = len(self.nodes)
         self.nodes.append(())
+        corners = steps(np.stack([lo, hi]))
         cut = self._cut(own) if len(rows) > self._leaf else None
         if cut is None:
-            self.nodes[me] = (lo, hi, -1, -1, len(self.leaves))
+            self.nodes[me] = (corners[0], ~corners[1], -1, -1, len(self.leaves))
             self.leaves.append(rows)
             return me
         dim, value = cut
@@ -93,7 +103,7 @@ class Tree:
         below[dim], above[dim] = value, value + 1
         left = self._build(rows[own[:, dim] <= value], lo, below)
         right = self._build(rows[own[:, dim] > value], above, hi)
-        self.nodes[me] = (lo, hi, left, right, -1)
+        self.nodes[me] = (corners[0], ~corners[1], left, right, -1)
         return me
 
     @staticmethod
@@ -106,15 +116,14 @@ class Tree:
         value = int(np.median(column))
         return dim, value if (column > value).any() else value - 1
 
-    def reach(self, points: np.ndarray, up: int, down: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, rows of points) whose box a point reaches by at most ``up`` steps up and ``down`` steps down."""
-        todo = [(0, np.arange(len(points)))] if len(points) else []
+    def reach(self, at: np.ndarray, up: int, down: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, rows of at) whose box a point (as steps) reaches by at most ``up`` steps up and ``down`` steps down."""
+        todo = [(0, np.arange(len(at)))] if len(at) else []
         while todo:
             node, rows = todo.pop()
-            lo, hi, left, right, leaf = self.nodes[node]
-            own = points[rows]
-            near = (np.maximum(lo - own, 0).sum(axis=1) <= up) & (np.maximum(own - hi, 0).sum(axis=1) <= down)
-            rows = rows[near]
+            lo, beyond, left, right, leaf = self.nodes[node]
+            own = at[rows]
+            rows = rows[(np.bitwise_count(lo & ~own) <= up) & (np.bitwise_count(own & beyond) <= down)]
             if not len(rows):
                 continue
             if leaf >= 0:
@@ -138,22 +147,21 @@ class Cells:
             self.count += len(tree.leaves)
             tree.leaves = []
 
-    def _at(self, points: np.ndarray, length: int, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
+    def _at(self, at: np.ndarray, length: int, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
         if length not in self.trees:
-            return np.arange(len(points)), np.full(len(points), self.count + length % SPARE)
+            return np.arange(len(at)), np.full(len(at), self.count + length % SPARE)
         tree, first = self.trees[length]
-        found = list(tree.reach(points, up, down))
+        found = list(tree.reach(at, up, down))
         if not found:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         return np.concatenate([rows for _, rows in found]), np.concatenate([np.full(len(rows), first + leaf) for leaf, rows in found])
 
-    def route(self, encoded: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def route(self, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, cell, asks): where each word is held (asks 0), and where it asks for words of its length (1) and one longer (2)."""
-        points, lengths = letter_counts(encoded), np.array([len(w) for w in encoded])
         out = []
         for length in np.unique(lengths):
             rows = np.flatnonzero(lengths == length)
-            own = points[rows]
+            own = at[rows]
             for asks, (other, up, down) in enumerate(((length, 0, 0), (length, 1, 1), (length + 1, 1, 0))):
                 hit, cell = self._at(own, int(other), up, down)
                 out.append((rows[hit], cell, np.full(len(hit), asks)))
@@ -163,10 +171,13 @@ class Cells:
 def _routed(cells: Cells) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2048):
-                part = batch.slice(at, 2048)
-                row, cell, asks = cells.route([w.encode("latin-1") for w in part.column("word").to_pylist()])
-                yield pa.RecordBatch.from_pydict({"word": part.column("word").take(pa.array(row)), "n": part.column("n").take(pa.array(row)), "cell": pa.array(cell, pa.int32()), "asks": pa.array(asks, pa.int32())})
+            for first in range(0, len(batch), 8192):
+                part = batch.slice(first, 8192)
+                encoded = [w.encode("latin-1") for w in part.column("word").to_pylist()]
+                at = steps(letter_counts(encoded))
+                row, cell, asks = cells.route(at, np.array([len(w) for w in encoded]))
+                word, n = (part.column(c).take(pa.array(row)) for c in ("word", "n"))
+                yield pa.RecordBatch.from_pydict({"word": word, "n": n, "at": pa.array(at[row].view(np.int64)), "cell": pa.array(cell, pa.int32()), "asks": pa.array(asks, pa.int32())})
 
     return run
 
@@ -179,39 +190,42 @@ def one_edit(a: bytes, b: bytes) -> bool:
     return a[i + 1 :] == b[i + 1 :] and i < n if len(b) == n else a[i:] == b[i + 1 :]
 
 
-def near_pairs(held: list[bytes], asking: list[bytes], asks: np.ndarray) -> Iterator[tuple[int, int]]:
+def close_pairs(held: np.ndarray, asking: np.ndarray, down: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of held, rows of asking), points as steps, that one step up and at most ``down`` steps down may part; found leaf by leaf."""
+    bits = np.unpackbits(held.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8)
+    tree = Tree(bits[:, :DIMS] + bits[:, DIMS:], _LEAF, tight=True)
+    for first in range(0, len(asking), 8192):
+        some = asking[first : first + 8192]
+        for leaf, hit in tree.reach(some, 1, down):
+            for start in range(0, len(tree.leaves[leaf]), 1024):
+                block = tree.leaves[leaf][start : start + 1024]
+                for from_ in range(0, len(hit), 1024):
+                    part = hit[from_ : from_ + 1024]
+                    own, other = some[part][:, None], held[block][None]
+                    q, m = np.nonzero((np.bitwise_count(other & ~own) <= 1) & (np.bitwise_count(own & ~other) <= down))
+                    if len(q):
+                        yield block[m], first + part[q]
+
+
+def near_pairs(words: list[bytes], at: np.ndarray, asks: np.ndarray) -> Iterator[tuple[int, int]]:
     """(index of an asking word, index of a held word) one edit apart; of two words of one length the smaller asks."""
-    held_length, length = np.array([len(w) for w in held]), np.array([len(w) for w in asking])
-    for size in np.unique(held_length):
-        members = np.flatnonzero(held_length == size)
-        points = letter_counts([held[i] for i in members])
-        tree = Tree(points, _LEAF, tight=True)
+    length = np.array([len(w) for w in words])
+    for size in np.unique(length[asks == 0]):
+        held = np.flatnonzero((asks == 0) & (length == size))
         for kind, own, down in ((1, size, 1), (2, size - 1, 0)):
-            rows = np.flatnonzero((asks == kind) & (length == own))
-            for first in range(0, len(rows), 4096):
-                some = rows[first : first + 4096]
-                queries = letter_counts([asking[i] for i in some])
-                for leaf, hit in tree.reach(queries, 1, down):
-                    block = tree.leaves[leaf]
-                    for at in range(0, len(hit), 512):
-                        part = hit[at : at + 512]
-                        for most in range(0, len(block), 512):
-                            inside = block[most : most + 512]
-                            gap = points[inside][None] - queries[part][:, None]
-                            close = (np.maximum(gap, 0).sum(axis=2) <= 1) & (np.maximum(-gap, 0).sum(axis=2) <= down)
-                            for q, m in zip(*np.nonzero(close)):
-                                a, b = asking[some[part[q]]], held[members[inside[m]]]
-                                if (kind == 2 or a < b) and one_edit(a, b):
-                                    yield int(some[part[q]]), int(members[inside[m]])
+            asking = np.flatnonzero((asks == kind) & (length == own))
+            for m, q in close_pairs(at[held], at[asking], down):
+                for i, k in zip(asking[q].tolist(), held[m].tolist()):
+                    a, b = words[i], words[k]
+                    if (kind == 2 or a < b) and one_edit(a, b):
+                        yield i, k
 
 
 def _near(group: pa.Table) -> pa.Table:
-    asks, word, n = group.column("asks").to_numpy(), group.column("word").combine_chunks(), group.column("n").combine_chunks()
-    encoded = [w.encode("latin-1") for w in word.to_pylist()]
-    held, asking = np.flatnonzero(asks == 0), np.flatnonzero(asks > 0)
-    pairs = np.array(list(near_pairs([encoded[i] for i in held], [encoded[i] for i in asking], asks[asking])), dtype=np.int64).reshape(-1, 2)
-    a, b = asking[pairs[:, 0]], held[pairs[:, 1]]
-    one, other = np.concatenate([a, b]), np.concatenate([b, a])
+    word, n = group.column("word").combine_chunks(), group.column("n").combine_chunks()
+    at = group.column("at").to_numpy().view(np.uint64)
+    pairs = np.array(list(near_pairs([w.encode("latin-1") for w in word.to_pylist()], at, group.column("asks").to_numpy())), dtype=np.int64).reshape(-1, 2)
+    one, other = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
     return pa.table({"word": word.take(pa.array(one)), "near": word.take(pa.array(other)), "near_n": n.take(pa.array(other))})
 
 
@@ -221,16 +235,16 @@ def near_words(counted: DataFrame, sample: int = SAMPLE, cell: int = CELL, held:
     least = counted.filter(F.char_length("word") <= SAMPLE_LENGTH).orderBy(F.xxhash64("word"), "word").limit(sample).select("word")
     fitted = [r.word.encode("latin-1") for r in least.collect()]  # bounded: SAMPLE words of SAMPLE_LENGTH letters
     cells = Cells(fitted, max(16, -(-cell * len(fitted) // max(total, 1))))
-    routed = stored(counted.mapInArrow(_routed(cells), "word string, n long, cell int, asks int"), "routed")
+    routed = stored(counted.mapInArrow(_routed(cells), "word string, n long, at long, cell int, asks int"), "routed")
     # At most one row for each cell: a leaf of the sample or a spare one.
     sizes = routed.groupBy("cell").agg(F.count_if(F.col("asks") == 0).alias("members"), F.count_if(F.col("asks") > 0).alias("queries"))
     sizes = sizes.filter("members > 0 and queries > 0").select("cell", F.ceil(F.col("members") / held).cast("int").alias("rows"), F.ceil(F.col("queries") / asked).cast("int").alias("columns"))
-    at = routed.join(F.broadcast(sizes), "cell")
+    sized = routed.join(F.broadcast(sizes), "cell")
     mine = lambda parts: F.pmod(F.xxhash64("word"), F.col(parts)).cast("int")
     every = lambda parts: F.sequence(F.lit(0), F.col(parts) - 1)
     rows = F.when(F.col("asks") == 0, F.array(mine("rows"))).otherwise(every("rows"))
     columns = F.when(F.col("asks") == 0, every("columns")).otherwise(F.array(mine("columns")))
-    dealt = at.select("word", "n", "asks", "cell", F.explode(rows).alias("i"), columns.alias("c")).select("word", "n", "asks", "cell", "i", F.explode("c").alias("j"))
+    dealt = sized.select("word", "n", "at", "asks", "cell", F.explode(rows).alias("i"), columns.alias("c")).select("word", "n", "at", "asks", "cell", "i", F.explode("c").alias("j"))
     return dealt.groupBy("cell", "i", "j").applyInArrow(_near, "word string, near string, near_n long")
 
 

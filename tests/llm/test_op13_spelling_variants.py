@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from gazette.llm.op13_spelling_variants import Tree, letter_counts, one_edit, spelling_variants
+from gazette.llm.op13_spelling_variants import Tree, close_pairs, letter_counts, one_edit, spelling_variants, steps
 
 UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
@@ -66,11 +66,13 @@ def test_boxes_lose_no_neighbour():
     held = ["".join(rng.choice("abcd") for _ in range(6)).encode() for _ in range(400)]
     points = letter_counts(held)
     tree = Tree(points, 8, tight=True)
+    at, points = steps(points), points.astype(int)
     for up, down in ((1, 1), (1, 0)):
-        got = {(q, m) for leaf, hit in tree.reach(points, up, down) for q in hit for m in tree.leaves[leaf]}
+        got = {(q, m) for leaf, hit in tree.reach(at, up, down) for q in hit for m in tree.leaves[leaf]}
         gap = points[None] - points[:, None]
         want = {(q, m) for q, m in zip(*((gap.clip(0).sum(2) <= up) & ((-gap).clip(0).sum(2) <= down)).nonzero())}
         assert want <= got
+        assert want == {(q, m) for held, asking in close_pairs(at, at, down) for m, q in zip(held, asking)}
 
 
 @pytest.mark.parametrize("sizes", [{}, {"sample": 120, "cell": 20, "held": 15, "asked": 10}, {"sample": 1, "cell": 1, "held": 7, "asked": 5}])
