@@ -6,7 +6,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-#: INN stems that mark antineoplastic names.
+#: Terms of all lexicons together, see :mod:`gazette.operators.lexicon`.
+TERMS = 250_000
+#: INN stems that mark antineoplastic names.
 STEMS = ("tinib", "ciclib", "parib", "zomib", "lisib", "rafenib", "metinib", "degib", "denib", "tecan", "rubicin", "platin", "taxel", "citabine", "vedotin", "mertansine", "govitecan")
 
 #: A small start; a deployment loads its own terms with :func:`lexicons_from`.
@@ -30,7 +32,14 @@ AREAS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Cardiology", ("atorvastatin", "amlodipine", "bisoprolol", "hypertension")),
     ("Endocrinology", ("insulin", "metformin", "levothyroxine", "diabetes")),
     ("Infectious Disease", ("amoxicillin", "vancomycin", "antiviral", "meropenem", "tb", "سل")),
-    ("Respiratory", ("salbutamol", "budesonide", "asthma")),
+    ("Respiratory", ("salbutamol", "budesonide", "asthma", "copd")),
+    ("Gastroenterology", ("omeprazole", "pantoprazole", "lactulose", "ulcerative colitis", "loperamide")),
+    ("Psychiatry", ("olanzapine", "risperidone", "sertraline", "schizophrenia", "depression")),
+    ("Pain & Anaesthesia", ("morphine", "fentanyl", "propofol", "lidocaine", "analgesic", "anaesthetic")),
+    ("Dermatology", ("psoriasis", "eczema", "isotretinoin", "hydrocortisone cream")),
+    ("Clinical Nutrition", ("parenteral nutrition", "enteral feed", "amino acids infusion", "lipid emulsion")),
+    ("Allergy", ("cetirizine", "loratadine", "antihistamine", "allergen")),
+    ("Ophthalmology", ("glaucoma", "latanoprost", "timolol", "eye drops")),
 )
 
 
@@ -61,11 +70,11 @@ class ScreenParams:
 def lexicons_from(table: DataFrame) -> tuple[dict[str, tuple[str, ...]], tuple[tuple[str, tuple[str, ...]], ...]]:
     """Lexicons and areas from a table (lexicon, area_rank, area, term); rows of lexicon ``area`` belong to areas.
 
-    A lexicon is a parameter, of a size that fits a plan; more than 20,000 terms are refused.
+    All terms go to every worker, so their number is bounded: ``TERMS``, a quarter of a million.
     """
-    rows = table.select("lexicon", "area_rank", "area", "term").limit(20_001).collect()
-    if len(rows) > 20_000:
-        raise ValueError("a lexicon of more than 20,000 terms belongs in a join")
+    rows = table.select("lexicon", "area_rank", "area", "term").limit(TERMS + 1).collect()
+    if len(rows) > TERMS:
+        raise ValueError(f"more than {TERMS} terms: a worker can't hold them")
     lexicons: dict[str, list[str]] = {}
     areas: dict[tuple[int, str], list[str]] = {}
     for r in rows:
