@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gazette.sources.settled import settled
+
 #: Fields that an update may change.
 MUTABLE = ("tender_title", "issuing_authority", "department", "publication_date", "submission_deadline", "closing_time", "tender_status", "contract_period", "estimated_value", "currency", "tender_fee", "bid_bond", "therapeutic_area", "priority", "tender_page_url")
 
@@ -57,6 +59,16 @@ def review_order(tenders: DataFrame) -> DataFrame:
     return tenders.filter("needs_review").orderBy(F.desc("last_seen"), "id")
 
 
+def places(ordered: DataFrame) -> DataFrame:
+    """An ordered table with the place of each row, from 1. The sort's partitions are in order, so a row's place is its place in its own
+    partition and the rows of the partitions before; only their counts, one a partition, come together."""
+    rows = settled(ordered.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id()), "ordered")
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_n").alias("_first"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    both = rows.join(F.broadcast(before), "_part")  # a row for each partition
+    return both.withColumn("place", F.col("_before") + F.col("_n") - F.col("_first") + 1).drop("_part", "_n", "_rows", "_first", "_before")
+
+
 def replace_children(old: DataFrame, new: DataFrame, key: str = "tender_id") -> DataFrame:
     """All new children, and the old ones of parents that have no new ones."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

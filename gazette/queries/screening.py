@@ -153,7 +153,27 @@ def m14_items_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = items(spark, sf_dir)
     line = F.concat(F.col("item_no").cast("string"), F.lit(". "), "product_name", F.lit("   "), F.format_number("quantity", 0), F.lit(" vials"))
     text = F.concat(F.lit("Annual list\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\nend"))
-    return extract.items_of_text(i.groupBy("tender_id").agg(text.alias("text"))).select("tender_id", "row", "product_name", "quantity", "unit", "needs_review")
+    return extract.counted_lines(i.groupBy("tender_id").agg(text.alias("text"))).select("tender_id", "row", "product_name", "quantity", "unit", "needs_review")
+
+
+_DOSES = extract.dose_line(word=r"\p{L}\p{N}_").replace("'", "''")
+
+
+@query(with_views(f"""
+, l AS (SELECT tender_id, CASE WHEN item_no % 3 = 0 THEN '' ELSE concat(item_no, CASE WHEN item_no % 3 = 1 THEN '. ' ELSE ') ' END) END || product_name || ' for ' || quantity::INT || ' wards' AS line, item_id FROM items),
+t AS (SELECT tender_id, concat('List of goods' || chr(10) || '----' || chr(10), string_agg(line, chr(10) || '----' || chr(10) ORDER BY line, item_id)) AS text FROM l GROUP BY tender_id),
+m AS (SELECT tender_id, unnest(regexp_extract_all(text, '{_DOSES}', 1)) AS item_no, unnest(regexp_extract_all(text, '{_DOSES}', 2)) AS name, unnest(regexp_extract_all(text, '{_DOSES}', 3)) AS dose FROM t)
+SELECT tender_id, nullif(item_no, '') AS item_no, trim(regexp_replace(concat(name, ' ', dose), '\\s+', ' ', 'g')) AS product_name, true AS needs_review FROM m WHERE length(trim(regexp_replace(concat(name, ' ', dose), '\\s+', ' ', 'g'))) >= 6"""))
+def m14_dose_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of goods as prose: names with doses, two lines of three with a number."""
+    from gazette.sources.views import items
+
+    i, n = items(spark, sf_dir), F.col("item_no")
+    number = F.when(n % 3 == 0, "").otherwise(F.concat(n.cast("string"), F.when(n % 3 == 1, ". ").otherwise(") ")))
+    line = F.concat(number, "product_name", F.lit(" for "), F.col("quantity").cast("int").cast("string"), F.lit(" wards"))
+    rows = F.sort_array(F.collect_list(F.struct(line.alias("line"), "item_id")))
+    text = F.concat(F.lit("List of goods\n----\n"), F.array_join(F.transform(rows, lambda x: x["line"]), "\n----\n"))
+    return extract.items_of_text(i.groupBy("tender_id").agg(text.alias("text"))).select("tender_id", "item_no", "product_name", "needs_review")
 
 
 TURNS = "WITH d AS (SELECT concat(conv_id, '-', turn) AS doc_id, " + fold_sql("concat_ws(' ', role, text)") + " AS f FROM conversations)"
@@ -184,6 +204,15 @@ def j14_fuzzy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guess_fields(p.select(header.alias("header")), p.select(name.alias("alias"), F.concat(F.lit("field "), name).alias("field")))
 
 
+@query(with_views("SELECT id, row_number() OVER (ORDER BY publication_date DESC, id) AS place FROM tenders WHERE needs_review"))
+def l07_review_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each notice in the order of review: it counts the rows before it, partition by partition."""
+    from gazette.operators.merge import places, review_order
+
+    flagged = tenders(spark, sf_dir).withColumn("last_seen", F.col("publication_date"))
+    return places(review_order(flagged)).select("id", "place")
+
+
 @query(with_views("SELECT id, publication_date AS last_seen FROM tenders WHERE needs_review"))
 def l07_review_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazette.operators.merge import review_order

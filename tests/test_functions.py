@@ -54,7 +54,7 @@ def test_product_details(spark):
 
 
 def test_keys(spark):
-    assert values(spark, keys.normalise_number, "MOH/2026/0142-A", "moh 2026 0142 a", None) == ["moh20260142a", "moh20260142a", ""]
+    assert values(spark, keys.normalise_number, "KW-77/2025.b", "kw 77 2025 B", None) == ["kw772025b", "kw772025b", ""]
     assert values(spark, keys.normalise_url, " HTTP://X/a/?token=1&b=2 ", "http://x/a?", None) == ["http://x/a/&b=2", "http://x/a", ""]
 
 

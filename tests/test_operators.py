@@ -162,9 +162,28 @@ def test_html_tables_and_labels(spark):
 def test_items_from_documents(spark):
     table = [[["List"], ["No", "Item description", "Qty", "Price"], ["1", "Carboplatin 150 mg vial", "1,000 vials", "2.5"], ["2", "ab", "5", "1"]]]
     tables = spark.createDataFrame([(1, table), (2, [])], "tender_id long, tables array<array<array<string>>>")
-    texts = spark.createDataFrame([(1, "1. Ignored here   5 vials"), (2, "Intro\n 1) Insulin pen 100 iu   2,500 boxes each\nno item\n2. Heparin   30 vials")], "tender_id long, text string")
-    out = sorted((r.tender_id, r.product_name, r.quantity, r.unit, r.line_value, r.needs_review) for r in extract.items_of(tables, texts).collect())
-    assert out == [(1, "Carboplatin 150 mg vial", 1000.0, "vials", 2500.0, None), (2, "Heparin", 30.0, "vials", None, True), (2, "Insulin pen 100 iu", 2500.0, "boxes", None, True)]
+    texts = spark.createDataFrame([(1, "1. Ignored here 5 mg"), (2, "Intro:\n 1) Insulin pen 100 iu   2,500 boxes each\nno dose\n2. Heparin   30 vials\nHeparin sodium 5000iu/ml amp\nab 5 mg")], "tender_id long, text string")
+    key = lambda rows: sorted(rows, key=repr)
+    out = [(r.tender_id, r.product_name, r.item_no, r.strength, r.line_value, r.needs_review) for r in extract.items_of(tables, texts).collect()]
+    # A name and a dose make an item, and a name may run over lines. The header "No" is no hint of a number.
+    want = [(2, *x, None, True) for x in dosed(texts.collect()[1].text)]
+    assert len(want) == 2 and key(out) == key([(1, "Carboplatin 150 mg vial", None, "150 mg", 2500.0, None), *want])
+    counted = sorted((r.product_name, r.quantity, r.unit) for r in extract.counted_lines(texts.filter("tender_id = 2")).collect())
+    assert counted == [("Heparin", 30.0, "vials"), ("Insulin pen 100 iu", 2500.0, "boxes")]
+
+
+def dosed(text):
+    """Names and doses, read one after the other."""
+    import re
+
+    at, out = 0, []
+    rx = re.compile(r"^\s*(?:(\d{1,3})[).\s-]+)?([A-Za-z][\w\s/(),.-]{4,80}?)\s+(\d+(?:[.,]\d+)?\s*(?:mcg|mg|g|ml|iu|%)\b[^\n]{0,30})", re.M)
+    while m := rx.search(text, at):
+        name = " ".join(f"{m[2]} {m[3]}".split())
+        strength = re.search(r"\d+\s*(mg|iu)(/ml)?", name)
+        out.append((name, m[1], strength and strength[0]))
+        at = m.end()
+    return out
 
 
 def test_price_list(spark):
