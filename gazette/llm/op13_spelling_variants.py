@@ -6,7 +6,7 @@ are searched for each pair of lengths, (L, L) and (L, L + 1), so that the shorte
 if it can only be reached by more than one step up, or by more than one step down (none for an inserted letter).
 
 * Counting is a plain aggregation in the JVM with partial sums, so a word of any frequency costs one row a task.
-* A bounded sample (``SAMPLE`` words, those of the least hashes) gives the upper levels of one k-d tree for each length; its leaves are the
+* A bounded sample (some ``SAMPLE`` words, chosen by their hashes) gives the upper levels of one k-d tree for each length; its leaves are the
   cells by which Spark deals the words. A word is held in one cell and asks in every cell within reach. Every word is indexed.
 * Cells that hold or are asked by too many words are cut into blocks of bounded size. Each block builds its k-d tree with tight boxes,
   answers all its range searches together and verifies the order of letters of what they find.
@@ -232,8 +232,10 @@ def _near(group: pa.Table) -> pa.Table:
 def near_words(counted: DataFrame, sample: int = SAMPLE, cell: int = CELL, held: int = HELD, asked: int = ASKED) -> DataFrame:
     """(word, near, near_n): all ordered pairs of words in ``counted`` (word, n) that one edit parts."""
     total = counted.count()
-    least = counted.filter(F.char_length("word") <= SAMPLE_LENGTH).orderBy(F.xxhash64("word"), "word").limit(sample).select("word")
-    fitted = [r.word.encode("latin-1") for r in least.collect()]  # bounded: SAMPLE words of SAMPLE_LENGTH letters
+    # Hashes choose, so that every task sends its share only; the limit proves the bound, twice what is expected.
+    share = min(1.0, sample / max(total, 1))
+    chosen = counted.filter((F.char_length("word") <= SAMPLE_LENGTH) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))).limit(2 * sample).select("word")
+    fitted = [r.word.encode("latin-1") for r in chosen.collect()]
     cells = Cells(fitted, max(16, -(-cell * len(fitted) // max(total, 1))))
     routed = stored(counted.mapInArrow(_routed(cells), "word string, n long, at long, cell int, asks int"), "routed")
     # At most one row for each cell: a leaf of the sample or a spare one.
