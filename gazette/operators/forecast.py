@@ -76,3 +76,47 @@ def product_forecasts(rows: DataFrame) -> DataFrame:
 def summary(forecasts: DataFrame) -> DataFrame:
     """Subjects examined, and forecasts produced and withheld."""
     return forecasts.agg(F.count_distinct("subject").alias("examined"), F.count("value").alias("produced"), F.count_if(F.col("value").isNull()).alias("withheld"))
+
+
+def cycle_forecasts(dated: DataFrame) -> DataFrame:
+    """The two forecasts of a rhythm alone, of (subject, day), in the form of :func:`product_forecasts`."""
+    basis = F.concat(F.col("n_days").cast("string"), F.lit(" days observed"))
+    both = F.array(
+        F.struct(F.lit("expected_next").alias("metric"), F.col("expected_next").cast("string").alias("value")),
+        F.struct(F.lit("frequency").alias("metric"), F.concat(F.col("cycle_days").cast("string"), F.lit(" days")).alias("value")),
+    )
+    return cycles(dated).select("subject", F.explode(both).alias("m"), "confidence", basis.alias("basis")).select("subject", "m.*", "confidence", "basis")
+
+
+def withheld(rows: DataFrame) -> DataFrame:
+    """(subject, metric, observed, needed, message): what can't be forecast of (subject, day, quantity, value, unit, key), and how much is lacking.
+
+    A season needs days in two years besides; its row says so in the message. Values are optional in notices and so never said to lack.
+    """
+    seen = rows.groupBy("subject").agg(F.count("day").alias("days"), F.count_if(F.col("quantity") != 0).alias("quantities"), F.count_distinct(F.year("day")).alias("years"))
+    lack = lambda metric, n, needed, short, more="": F.when(short, F.struct(F.lit(metric).alias("metric"), F.col(n).alias("observed"), F.lit(needed).alias("needed"), F.concat(F.lit(f"{metric}: "), F.col(n).cast("string"), F.lit(f" {n}, {needed} needed{more}")).alias("message")))
+    gaps_ = F.array_compact(F.array(
+        lack("cycle", "days", MIN_CYCLE, F.col("days") < MIN_CYCLE),
+        lack("typical_quantity", "quantities", MIN_QUANTITY, F.col("quantities") < MIN_QUANTITY),
+        lack("seasonal_pattern", "days", MIN_SEASON, (F.col("days") < MIN_SEASON) | (F.col("years") < 2), " in two years"),
+    ))
+    return seen.select("subject", F.explode(gaps_).alias("m")).select("subject", "m.*")
+
+
+def evidence(rows: DataFrame) -> DataFrame:
+    """(subject, kind, value), distinct: the notices, authorities and days that forecasts of (subject, tender_number, authority, day) rest on.
+
+    A table and not a list in each forecast: a product that a third of all items ask for would be one list in one row.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("value")) for kind, c in (("tender", "tender_number"), ("authority", "authority"), ("day", "day")))))
+    return rows.select("subject", each.alias("m")).select("subject", "m.*").filter("value is not null").distinct()
+
+
+def saved(forecasts: DataFrame, proof: DataFrame, run_id: str) -> DataFrame:
+    """Rows of the forecasts table for one run: what was produced, with the size and the ends of its evidence as JSON; for ``io.append_run``."""
+    sizes = proof.groupBy("subject").agg(
+        F.count_if(F.col("kind") == "tender").alias("tenders"), F.count_if(F.col("kind") == "authority").alias("authorities"), F.count_if(F.col("kind") == "day").alias("days"),
+        F.min(F.when(F.col("kind") == "day", F.col("value"))).alias("first"), F.max(F.when(F.col("kind") == "day", F.col("value"))).alias("last"),
+    )
+    own = sizes.select("subject", F.to_json(F.struct("tenders", "authorities", "days", "first", "last")).alias("evidence"))
+    return forecasts.filter("value is not null").join(own, "subject", "left").select(F.lit(run_id).alias("run_id"), "subject", "metric", "value", "confidence", "evidence")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazette.operators import forecast, tracker
+from gazette.operators import forecast, planning, resolve, tracker
+from gazette.operators.contains import contains_join
 from gazette.plans.params import ScreenParams
 from gazette.queries import query
-from gazette.sources.views import AS_OF, items, tenders, with_views
+from gazette.sources.views import AS_OF, items, read, tenders, with_views
 
 P = ScreenParams()
 AREA_SQL = """coalesce(CASE WHEN i.therapeutic_area <> 'Other Pharmaceutical' THEN i.therapeutic_area END, CASE WHEN t.therapeutic_area <> 'Other Pharmaceutical' THEN t.therapeutic_area END,
@@ -143,3 +144,119 @@ def r04_forecast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views(_HISTORY + " SELECT subject, day, date_diff('day', lag(day) OVER (PARTITION BY subject ORDER BY day), day) AS gap FROM d"))
 def w01_lag_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forecast.gaps(_histories(spark, sf_dir).select("subject", "day")).withColumn("gap", F.col("gap").cast("long"))
+
+
+_HITS = JOINED + """, h AS (SELECT * FROM j WHERE contains(lower(concat_ws(' ', array_to_string(portfolio_principal, ' '), array_to_string(portfolio_product, ' '), product_name, array_to_string(registered_products, ' '))), 'principal 3'))"""
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.hits(_scope(spark, sf_dir), "Principal 3")
+
+
+@query(with_views(_HITS + f"""
+SELECT count(DISTINCT tender_number) AS n_tenders, count(DISTINCT CASE WHEN {OPEN} THEN tender_number END) AS n_open, count(*) AS n_items,
+  (SELECT count(DISTINCT sku) FROM (SELECT unnest(CASE WHEN len(portfolio_product) > 0 THEN portfolio_product ELSE ['(no product matched)'] END) AS sku FROM h)) AS n_skus FROM h"""))
+def r12_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.headline(_hits(spark, sf_dir), AS_OF)
+
+
+@query(with_views(_HITS + f"""
+SELECT tender_number, product_name, submission_deadline, item_id, unit, quantity, area, array_to_string(portfolio_product, '; ') AS products, CASE WHEN {OPEN} THEN 'open' ELSE 'closed' END AS state
+FROM (SELECT *, row_number() OVER (PARTITION BY tender_number, product_name ORDER BY submission_deadline NULLS FIRST, item_id, unit, quantity) AS n FROM h) WHERE n = 1"""))
+def r12_tenders_behind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.tenders_behind(_hits(spark, sf_dir), AS_OF)
+
+
+@query(with_views(_HITS + f""", e AS (SELECT *, unnest(CASE WHEN len(portfolio_product) > 0 THEN portfolio_product ELSE ['(no product matched)'] END) AS sku, {OPEN} AS o FROM h)
+SELECT sku, count(DISTINCT tender_number) AS n_tenders, sum(quantity) AS quantity, array_to_string(list_sort(list_distinct(list(trim(unit)))), ', ') AS units, count(DISTINCT product_name) AS n_names,
+  count(*) FILTER (WHERE o) AS n_open, min(submission_deadline) FILTER (WHERE o) AS next_closing, arg_min(portfolio_principal[1], item_id) FILTER (WHERE len(portfolio_principal) > 0) AS principal FROM e GROUP BY sku"""))
+def r12_demand_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tracker.demand(_hits(spark, sf_dir), AS_OF)
+
+
+@query(with_views(""", u AS (SELECT 'product' AS kind, lower(product_name) AS subject, publication_date AS day FROM items i JOIN tenders t ON t.id = i.tender_id
+  UNION ALL SELECT 'authority', coalesce(issuing_authority, 'Unknown'), publication_date FROM tenders), d AS (SELECT concat(kind, '|', subject) AS subject, day FROM u WHERE contains(lower(subject), 'an'))""" + _CYCLE + """
+, k AS (SELECT string_split(subject, '|')[1] AS kind, string_split(subject, '|')[2] AS subject, cycle_days, expected_next, confidence, concat(n_days, ' days observed') AS basis FROM cycles)
+SELECT kind, subject, 'expected_next' AS metric, CAST(expected_next AS VARCHAR) AS value, confidence, basis FROM k
+UNION ALL SELECT kind, subject, 'frequency', CASE WHEN cycle_days IS NOT NULL THEN concat(cycle_days, ' days') END, confidence, basis FROM k WHERE kind = 'authority'"""))
+def r12_matching_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rhythms of what bears a name; r02 has the other metrics of products."""
+    t = tenders(spark, sf_dir).select(F.coalesce("issuing_authority", F.lit("Unknown")).alias("subject"), F.col("publication_date").alias("day"))
+    found = planning.matching_forecasts(_histories(spark, sf_dir), t, "AN")
+    return found.filter("metric = 'expected_next' or kind = 'authority'")
+
+
+_SOLD = ", d AS (SELECT concat(lower(product_name), ' for ', issuing_authority) AS subject, publication_date AS day, quantity FROM items i JOIN tenders t ON t.id = i.tender_id)"
+
+
+@query(with_views(_SOLD + """, n AS (SELECT subject, count(day) AS days, count(*) FILTER (WHERE quantity <> 0) AS quantities, count(DISTINCT year(day)) AS years FROM d GROUP BY subject)
+SELECT subject, 'cycle' AS metric, days AS observed, 3 AS needed, concat('cycle: ', days, ' days, 3 needed') AS message FROM n WHERE days < 3
+UNION ALL SELECT subject, 'typical_quantity', quantities, 3, concat('typical_quantity: ', quantities, ' quantities, 3 needed') FROM n WHERE quantities < 3
+UNION ALL SELECT subject, 'seasonal_pattern', days, 6, concat('seasonal_pattern: ', days, ' days, 6 needed in two years') FROM n WHERE days < 6 OR years < 2"""))
+def r02_forecast_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can't be forecast of each product for each authority."""
+    t = tenders(spark, sf_dir).select("id", "issuing_authority", F.col("publication_date").alias("day"))
+    i = items(spark, sf_dir).select("tender_id", "product_name", "quantity")
+    subject = F.concat(F.lower("product_name"), F.lit(" for "), "issuing_authority")
+    return forecast.withheld(i.join(t, i.tender_id == t.id).select(subject.alias("subject"), "day", "quantity"))
+
+
+_PROOF = """, q AS (SELECT lower(product_name) AS subject, tender_number, issuing_authority AS authority, publication_date AS day FROM items i JOIN tenders t ON t.id = i.tender_id),
+proof AS (SELECT DISTINCT subject, 'tender' AS kind, tender_number AS value FROM q UNION ALL SELECT DISTINCT subject, 'authority', authority FROM q UNION ALL SELECT DISTINCT subject, 'day', CAST(day AS VARCHAR) FROM q)"""
+
+
+def _proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tenders(spark, sf_dir).select("id", "tender_number", F.col("issuing_authority").alias("authority"), F.col("publication_date").alias("day"))
+    i = items(spark, sf_dir).select("tender_id", F.lower("product_name").alias("subject"))
+    return forecast.evidence(i.join(t, i.tender_id == t.id))
+
+
+@query(with_views(_PROOF + " SELECT * FROM proof WHERE value IS NOT NULL"))
+def r04_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proof(spark, sf_dir)
+
+
+@query(with_views(_HISTORY + _CYCLE + _PROOF + """, z AS (SELECT subject, concat('{"tenders":', count(*) FILTER (WHERE kind = 'tender'), ',"authorities":', count(*) FILTER (WHERE kind = 'authority'), ',"days":', count(*) FILTER (WHERE kind = 'day'),
+  ',"first":"', min(value) FILTER (WHERE kind = 'day'), '","last":"', max(value) FILTER (WHERE kind = 'day'), '"}') AS evidence FROM proof GROUP BY subject)
+SELECT 'run 1' AS run_id, subject, 'expected_next' AS metric, CAST(expected_next AS VARCHAR) AS value, confidence, evidence FROM cycles JOIN z USING (subject) WHERE expected_next IS NOT NULL
+UNION ALL SELECT 'run 1', subject, 'frequency', concat(cycle_days, ' days'), confidence, evidence FROM cycles JOIN z USING (subject) WHERE cycle_days IS NOT NULL"""))
+def r04_saved_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rhythms of products with their evidence, as a run saves them."""
+    h = _histories(spark, sf_dir)
+    return forecast.saved(forecast.cycle_forecasts(h.select("subject", "day")), _proof(spark, sf_dir), "run 1")
+
+
+_LISTED = "SELECT p_partkey AS k, concat('Principal ', p_partkey % 13, CASE WHEN p_partkey % 2 = 0 THEN concat(', Principal ', p_partkey % 120) ELSE '' END) AS principals FROM part"
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    more = F.when(k % 2 == 0, F.concat(F.lit(", Principal "), (k % 120).cast("string"))).otherwise("")
+    return read(spark, sf_dir, "part").select(k.alias("k"), F.concat(F.lit("Principal "), (k % 13).cast("string"), more).alias("principals"))
+
+
+@query(f"""WITH l AS ({_LISTED}), s AS (SELECT DISTINCT k, unnest(string_split(principals, ', ')) AS principal FROM l), p AS (SELECT DISTINCT principal FROM s)
+SELECT principal, (SELECT count(*) FROM l WHERE contains(l.principals, p.principal)) AS n_inside, (SELECT count(*) FROM s WHERE s.principal = p.principal) AS n_equal FROM p""")
+def j15_contains_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of each principal, by its name inside the text of all principals (1 is inside 10, too), and as an element of the list."""
+    listed = _listed(spark, sf_dir)
+    own = listed.select("k", F.explode(F.array_distinct(F.split("principals", ", "))).alias("principal"))
+    inside = contains_join(listed, own, "principals", "principal").join(listed, F.col("text") == F.col("principals")).groupBy("needle").agg(F.count(F.lit(1)).alias("n_inside"))
+    equal = own.groupBy("principal").agg(F.count(F.lit(1)).alias("n_equal"))
+    return equal.join(inside, F.col("needle") == F.col("principal")).select("principal", "n_inside", "n_equal")
+
+
+@query("""WITH n AS (SELECT DISTINCT w AS needle FROM (SELECT unnest(string_split(text, ' ')) AS w FROM benchmark) WHERE length(w) > 0), t AS (SELECT DISTINCT text FROM documents WHERE text <> '')
+SELECT needle, count(*) AS n_texts FROM t JOIN n ON contains(text, needle) GROUP BY needle""")
+def j15_words_inside_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many distinct texts each word of the benchmark occurs, inside longer words too."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word"))
+    return contains_join(read(spark, sf_dir, "documents"), words, "text", "word").groupBy("needle").agg(F.count(F.lit(1)).alias("n_texts"))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_name AS a, list_sort(string_split(p_name, '')) AS l FROM part WHERE p_name <> ''), c AS (SELECT a, list_transform(l, lambda x, i: concat(x, i - 1 - list_position(l, x))) AS l FROM t)
+SELECT x.a, y.a AS b FROM c x, c y WHERE 2 * len(list_intersect(x.l, y.l)) / (length(x.a) + length(y.a)) >= 0.86 AND 2 * least(length(x.a), length(y.a)) / (length(x.a) + length(y.a)) >= 0.86""")
+def j08_letter_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of names that lengths and shared letters leave to be compared in order."""
+    names = read(spark, sf_dir, "part").select(F.lit("part").alias("source"), F.col("p_name").alias("title"))
+    return resolve.bounded_pairs(names, names, 0.86).select("a", "b")
