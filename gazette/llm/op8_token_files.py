@@ -144,7 +144,9 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, end
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    dealt = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # The hash of the text parts rows that share an id (or have none).
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    dealt = texts.repartitionByRange(*order).sortWithinPartitions(*order)
     written = stored(dealt.mapInArrow(_write(folder, path or public_tokenizers.path(VOCABULARY), end, length, rows, most), _MANIFEST), "manifest")
     # One number for each partition reaches the driver.
     before, bases = 0, {}
@@ -193,8 +195,10 @@ def _read(folder: str) -> Callable:
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """One row for each document, from the files: doc_id, start, n_tokens (with the end id) and the CRC-32 of its ids as 32-bit integers."""
-    # A row of the manifest is small, the file behind it is not: deal files, not bytes of the manifest.
-    dealt = manifest.repartition(max(1, manifest.count()))
+    # A row of the manifest is small, the file behind it is not: deal files, not bytes of the manifest. A task takes several files in turn
+    # where there are more of them than four times the cores.
+    most = max(200, 4 * manifest.sparkSession.sparkContext.defaultParallelism)
+    dealt = manifest.repartition(max(1, min(manifest.count(), most)))
     return dealt.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
