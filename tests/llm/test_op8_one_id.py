@@ -10,7 +10,13 @@ def test_one_id_for_half_of_the_rows(spark):
     n = 8000
     docs = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
     folder = scratch(spark, "tokens")
-    manifest = write_token_files(docs, folder)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")  # so little data would be one partition
+    try:
+        manifest = write_token_files(docs, folder)
+    finally:
+        spark.conf.set(name, before)
     sizes = [r.n for r in manifest.groupBy("part").agg(F.sum(F.size("doc_ids")).alias("n")).collect()]
     assert len(sizes) > 2 and max(sizes) < 2 * n / len(sizes)
     rows = sorted(read_token_files(manifest, folder).collect(), key=lambda r: r.start)
