@@ -2,42 +2,64 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Callable, Iterator
 
-from gazette.functions.text import let
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Code points of a gram; a shorter needle is its own gram.
+#: Bytes of a gram; a shorter needle is its own gram.
 GRAM = 4
+#: Needles of one text that are looked for in one row, as a mean at most.
+BUCKET = 4096
+_PIECE = 1 << 20
+
+
+def _runs(text: bytes, size: int) -> np.ndarray:
+    """The distinct runs of ``size`` bytes as numbers, in pieces, so that a very long text takes little memory."""
+    found = []
+    for at in range(0, max(0, len(text) - size + 1), _PIECE):
+        own = np.frombuffer(text, np.uint8, min(_PIECE + size - 1, len(text) - at), at).astype(np.int64)
+        n = len(own) - size + 1
+        found.append(np.unique(sum(own[k : k + n] << 8 * k for k in range(size)) | size << 8 * GRAM))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def _cut(sizes: list[int], whole: bool) -> Callable:
+    """Rows (name, text) to rows (name, gram): of every size, or with ``whole`` of the one that suits a needle's length."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.column(0), batch.column(1)
+            for i in range(len(batch)):
+                text = texts[i].as_py().encode()
+                grams = np.concatenate([_runs(text, k) for k in ([min(len(text), GRAM)] if whole else sizes)])
+                if len(grams):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(grams), i))), pa.array(grams)], names=["name", "gram"])
 
-def grams(text: Column, size: int) -> Column:
-    """The distinct runs of ``size`` code points of a text."""
-    # A text is split once; runs that would pass its end are NULL and go.
-    runs = let(F.split(text, ""), lambda own: F.transform(own, lambda c, i: F.concat(c, *(F.get(own, i + k) for k in range(1, size)))))
-    return F.array_distinct(F.array_compact(runs))
+    return run
 
 
-def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str, size: int = GRAM) -> DataFrame:
+def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
     """(text, needle), distinct: the needle occurs in the text, upper and lower case apart.
 
     Texts and needles are compared once for each distinct value. A needle asks at the gram of its own that the fewest texts have, so that
-    frequent grams are asked for only by needles that have no other. NULLs and
-    empty needles are contained nowhere. Other columns of either side, whatever their names, are left out: join them back.
+    frequent grams are asked for only by needles that have no other. Grams travel with a digest of their text; the text itself comes once
+    more for each few thousand needles that it may contain. NULLs and empty needles are contained nowhere, in a text without a character
+    nothing is. Other columns of either side, whatever their names, are left out: join them back.
     """
-    t = texts.select(F.col(text).alias("text")).filter("text <> ''").distinct()
-    n = needles.select(F.col(needle).alias("needle")).filter("needle <> ''").distinct()
-    # At most ``size`` numbers: the lengths of grams that occur.
-    lengths = sorted(r["length"] for r in n.select(F.least(F.length("needle"), F.lit(size)).alias("length")).distinct().collect())
-    if not lengths:
-        return t.join(n, F.lit(False))
-    own = F.coalesce(*(F.when(F.least(F.length("needle"), F.lit(size)) == k, grams(F.col("needle"), k)) for k in lengths))
-    asked = n.select("needle", F.explode(own).alias("gram"))
-    t = t.withColumn("key", F.unhex(F.sha2("text", 256)))
-    every = t.select("key", F.explode(F.array_distinct(F.flatten(F.array(*(grams(F.col("text"), k) for k in lengths))))).alias("gram"))
+    t = texts.select(F.col(text).cast("string").alias("text")).filter("text <> ''").distinct().select(F.unhex(F.sha2("text", 256)).alias("key"), "text")
+    n = needles.select(F.col(needle).cast("string").alias("needle")).filter("needle <> ''").distinct()
+    # At most GRAM numbers: the lengths of grams that occur, with how many needles have them.
+    lengths = {r["size"]: r["n"] for r in n.groupBy(F.least(F.octet_length("needle"), F.lit(GRAM)).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    asked = n.select("needle", F.col("needle").alias("own")).mapInArrow(_cut([], True), "name string, gram long").withColumnRenamed("name", "needle")
+    every = t.mapInArrow(_cut(sorted(lengths), False), "name binary, gram long").withColumnRenamed("name", "key") if lengths else t.sparkSession.createDataFrame([], "key binary, gram long")
     counts = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # A gram that no text has rules its needle out: an inner join would ask another gram, so absent ones count as 0 and win.
+    # A gram that no text has rules its needle out: it counts as 0 and wins.
     rare = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x"))
     keys = rare.filter("x.n > 0").select("needle", F.col("x.gram").alias("gram"))
-    # Grams travel with a digest of their text; the text itself comes once more for the pairs that share a needle's rarest gram.
-    return every.join(keys, "gram").select("key", "needle").join(t, "key").filter(F.contains("text", "needle")).select("text", "needle")
+    buckets = -(-max(1, sum(lengths.values())) // BUCKET)
+    lists = every.join(keys, "gram").groupBy("key", F.pmod(F.xxhash64("needle"), F.lit(buckets)).alias("bucket")).agg(F.collect_list("needle").alias("needles"))
+    inside = F.filter("needles", lambda x: F.contains(F.col("text"), x))
+    return lists.join(t, "key").select("text", F.explode(inside).alias("needle"))
