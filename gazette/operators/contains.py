@@ -6,13 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gazette.sources.settled import settled
+
 #: Bytes of a gram; a shorter needle is its own gram.
 GRAM = 4
 #: Needles of one text that are looked for in one row, as a mean at most.
 BUCKET = 4096
+#: Grams asked for, 8 MB, up to which the step that cuts texts holds them; more meet by the shuffled join alone.
+HELD = 1 << 20
 _PIECE = 1 << 20
 
 
@@ -26,8 +31,8 @@ def _runs(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
-def _cut(sizes: list[int], whole: bool) -> Callable:
-    """Rows (name, text) to rows (name, gram): of every size, or with ``whole`` of the one that suits a needle's length."""
+def _cut(sizes: list[int], whole: bool, only: Broadcast | None = None) -> Callable:
+    """Rows (name, text) to rows (name, gram): of every size, or with ``whole`` of the one that suits a needle's length; ``only`` some grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -35,6 +40,8 @@ def _cut(sizes: list[int], whole: bool) -> Callable:
             for i in range(len(batch)):
                 text = texts[i].as_py().encode()
                 grams = np.concatenate([_runs(text, k) for k in ([min(len(text), GRAM)] if whole else sizes)])
+                if only is not None:
+                    grams = grams[np.isin(grams, only.value, assume_unique=True)]
                 if len(grams):
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(np.full(len(grams), i))), pa.array(grams)], names=["name", "gram"])
 
@@ -45,7 +52,7 @@ def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str)
     """(text, needle), distinct: the needle occurs in the text, upper and lower case apart.
 
     Texts and needles are compared once for each distinct value. A needle asks at the gram of its own that the fewest texts have, so that
-    frequent grams are asked for only by needles that have no other. Grams travel with a digest of their text; the text itself comes once
+    frequent grams are asked for only by needles that have no other; grams that none asks for stay where they are cut. Grams travel with a digest of their text; the text itself comes once
     more for each few thousand needles that it may contain. NULLs and empty needles are contained nowhere, in a text without a character
     nothing is. Other columns of either side, whatever their names, are left out: join them back.
     """
@@ -54,12 +61,16 @@ def contains_join(texts: DataFrame, needles: DataFrame, text: str, needle: str)
     # At most GRAM numbers: the lengths of grams that occur, with how many needles have them.
     lengths = {r["size"]: r["n"] for r in n.groupBy(F.least(F.octet_length("needle"), F.lit(GRAM)).alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
     asked = n.select("needle", F.col("needle").alias("own")).mapInArrow(_cut([], True), "name string, gram long").withColumnRenamed("name", "needle")
-    every = t.mapInArrow(_cut(sorted(lengths), False), "name binary, gram long").withColumnRenamed("name", "key") if lengths else t.sparkSession.createDataFrame([], "key binary, gram long")
-    counts = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    cut = lambda only=None: t.mapInArrow(_cut(sorted(lengths), False, only), "name binary, gram long").withColumnRenamed("name", "key") if lengths else t.sparkSession.createDataFrame([], "key binary, gram long")
+    counts = cut().groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # A gram that no text has rules its needle out: it counts as 0 and wins.
     rare = asked.join(counts, "gram", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("x"))
-    keys = rare.filter("x.n > 0").select("needle", F.col("x.gram").alias("gram"))
+    keys = settled(rare.filter("x.n > 0").select("needle", F.col("x.gram").alias("gram")), "keys")
+    grams = keys.select("gram").distinct()
+    held = None
+    if grams.count() <= HELD:
+        held = t.sparkSession.sparkContext.broadcast(np.array(sorted(r["gram"] for r in grams.collect()), np.int64))
     buckets = -(-max(1, sum(lengths.values())) // BUCKET)
-    lists = every.join(keys, "gram").groupBy("key", F.pmod(F.xxhash64("needle"), F.lit(buckets)).alias("bucket")).agg(F.collect_list("needle").alias("needles"))
+    lists = cut(held).join(keys, "gram").groupBy("key", F.pmod(F.xxhash64("needle"), F.lit(buckets)).alias("bucket")).agg(F.collect_list("needle").alias("needles"))
     inside = F.filter("needles", lambda x: F.contains(F.col("text"), x))
     return lists.join(t, "key").select("text", F.explode(inside).alias("needle"))
