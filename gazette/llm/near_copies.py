@@ -6,12 +6,15 @@ no affordable number of wider fingerprints finds them all (README, "What a SimHa
 hashes under ``BANDS`` x ``ROWS`` permutations: texts meet where all minima of a band are equal. A pair at 0.8 exactly shares no band
 with probability (1 - 0.8^5)^28 = 1.5e-5, more similar pairs with less.
 
-Every candidate pair is judged on its exact sets of shingles, and links become components by :mod:`gazette.llm.components`. In
-``ROUNDS`` rounds each text is held against the text of its band that has most links so far. Texts that then still share a band with
-another component are joined by prefixes: sets are put in one common order, rarest shingle first, and two sets of similarity 0.8 meet
-at the first shingle they share, with enough left behind it on both sides. Shingles of one text alone can't be shared and come first,
-so a text whose every fifth shingle is its own has no candidate at all: a large group of copies that all differ costs no pairs of its
-members. No pair is dropped.
+Every candidate pair is judged on its exact sets of shingles, and links become components by :mod:`gazette.llm.components`. First come
+rounds, ``ROUNDS`` at most, that make no more pairs than there are rows of bands: each text is held against the text of its band that has
+most links so far and, from the second round on, against one drawn at random for each band. Texts put together from shared paragraphs
+become few components this way, and texts of one component are not compared again. Rounds end when one of them joins little. Texts that then
+still share a band with another component are joined by prefixes: sets are put in one common order, rarest shingle first, and two sets
+of similarity 0.8 meet at the first shingle they share, with enough left behind it on both sides. Shingles of one text alone can't be
+shared and come first, so a text whose every fifth shingle is its own has no candidate at all: a large group of copies that all differ
+costs no pairs of its members. Pairs whose parities tell that the sets differ in too many shingles go before the sets are fetched. No
+pair that can be similar is dropped.
 
 Cases: words are lower-cased (ASCII) and parted by white space; fewer words than a shingle give one shingle; null and empty texts and
 texts without words are equal to each other; equal texts are one node, known by a 64-bit hash; a null id takes part but is never the
@@ -38,7 +41,9 @@ from gazette.llm.op7_simhash import links, shingle_hashes, simhash
 SHINGLE = 5
 BANDS = 28
 ROWS = 5
-ROUNDS = 1
+#: Rounds by spokesmen at most; another round follows where more than one of YIELD pairs that a round judged was similar.
+ROUNDS = 5
+YIELD = 50
 #: Similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
 _RANDOM = np.random.default_rng(20)
@@ -85,11 +90,35 @@ def _sets(shingle: int) -> Callable:
             for first, last in chunks(offsets):
                 h, per_text = shingle_hashes(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], shingle)
                 own = [np.unique(x) if len(x) else _NONE for x in np.split(h, np.cumsum(per_text)[:-1])]
-                yield pa.RecordBatch.from_pydict({"node": batch.column("node").slice(first, last - first), "n": pa.array([len(x) for x in own], pa.int64()), "shingles": pa.array([x.tobytes() for x in own], pa.binary())})
+                columns = {"node": batch.column("node").slice(first, last - first), "n": pa.array([len(x) for x in own], pa.int64())}
+                columns |= {"parity": pa.array([parities(x) for x in own], pa.binary()), "shingles": pa.array([x.tobytes() for x in own], pa.binary())}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """One bit for each place: whether an odd number of the set's hashes fall there. As many places as shingles, within bounds."""
+    places = min(max(1 << (len(shingles) - 1).bit_length(), 256), 1 << 16)
+    at = (shingles & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8)).tobytes()
+
+
+def odds(a: bytes, b: bytes) -> int:
+    """Places in which the parities of two sets differ: the sets differ in that many elements at least."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint8), np.frombuffer(b, dtype=np.uint8)), key=len)
+    # A place of the shorter one holds what falls into several of the longer one.
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _even(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        u, v, both, a, b = (batch.column(c) for c in ("u", "v", "both", "a", "b"))
+        # Sets of similarity p / q differ in (q - p) / (q + p) of their sizes together at most.
+        kept = [odds(x.as_py(), y.as_py()) * sum(SIMILAR) <= n.as_py() * (SIMILAR[1] - SIMILAR[0]) for x, y, n in zip(a, b, both)]
+        yield pa.RecordBatch.from_pydict({"u": u, "v": v}).filter(pa.array(kept, pa.bool_()))
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """Whether two sorted sets reach SIMILAR."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -104,10 +133,11 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) that are similar. Sets of too different sizes are told apart by their sizes."""
-    sizes = sets.select("node", "n")
-    near = pairs.join(sizes.toDF("u", "_m"), "u").join(sizes.toDF("v", "_n"), "v")
-    near = near.filter(F.least("_m", "_n") * SIMILAR[1] >= F.greatest("_m", "_n") * SIMILAR[0]).select("u", "v")
+    """The pairs (u, v) that are similar. Sets of too different sizes or parities are told apart by these."""
+    sizes = sets.select("node", "n", "parity")
+    near = pairs.join(sizes.toDF("u", "_m", "a"), "u").join(sizes.toDF("v", "_n", "b"), "v")
+    near = near.filter(F.least("_m", "_n") * SIMILAR[1] >= F.greatest("_m", "_n") * SIMILAR[0])
+    near = near.select("u", "v", (F.col("_m") + F.col("_n")).alias("both"), "a", "b").mapInArrow(_even, "u long, v long")
     left, right = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
     return near.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(_judge, "u long, v long")
 
@@ -140,8 +170,8 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     Rarity is counted over ``sets``; ``bound`` is how many shingles that others have too are left from here on in that order. Where two
     sets meet at the first shingle they share, they have no more in common than the lesser bound.
     """
-    each = stored(sets.mapInArrow(_flat, "node long, n long, key long"), "shingles")
-    common = each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    each = stored(sets.select("node", "shingles").mapInArrow(_flat, "node long, n long, key long"), "shingles")
+    common = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "common")
     own = Window.partitionBy("node")
     left = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("df", "key")) + 1
     ranked = each.join(common, "key").select("node", "n", "key", left.alias("bound"))
@@ -152,7 +182,34 @@ def _unsettled(bands: DataFrame, known: DataFrame) -> DataFrame:
     """(node, key, root, ...): members of the bands that hold several components."""
     placed = bands.join(known, "node", "left").withColumn("root", F.coalesce("root", "node"))
     many = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-    return stored(placed.join(many, "key"), "open")
+    # Written first, here and below: a join with an aggregate can't split a key that many rows hold, a join with a table can.
+    return stored(placed.join(stored(many, "many"), "key"), "open")
+
+
+def _by_spokesmen(bands: DataFrame, found: DataFrame, turn: int) -> DataFrame:
+    """Pairs (x, y) of each member of a band and the one or two others that speak for the band in this round."""
+    # Those with most links so far come first: the text that a group of copies was made from has most.
+    links_of = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg((-F.count(F.lit(1))).alias("links"))
+    hub = F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("node", F.lit(turn)), "node", "root")
+    other = F.struct(F.xxhash64("node", "key", F.lit(turn)), "node", "root")
+    drawn = bands.join(links_of, "node", "left").groupBy("key").agg(F.min(hub).alias("hub"), F.min(other).alias("other"))
+    who = F.array(*(F.struct(f"{c}.node", f"{c}.root") for c in (("hub", "other") if turn else ("hub",))))
+    speak = stored(drawn.select("key", who.alias("speak")), "spokesmen")
+    held = bands.withColumnRenamed("node", "x").join(speak, "key").select("x", "root", F.explode("speak").alias("y"))
+    return held.filter(F.col("root") != F.col("y.root")).select("x", F.col("y.node").alias("y"))
+
+
+def _by_prefixes(bands: DataFrame, sets: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (x, y) of all members of open bands that belong to different components and can be similar by their prefixes."""
+    both = _unsettled(_prefixes(sets.join(bands.select("node").distinct(), "node", "left_semi")), known)
+    # The largest part of those that share a shingle is held against the others, not against itself.
+    parts = both.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = stored(parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main")), "main")
+    told = stored(both.join(main, "key").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "parts")
+    others = told.filter("not is_main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("bound").alias("bound_x"))
+    every = told.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("bound").alias("bound_y"), "is_main")
+    enough = F.least("bound_x", "bound_y") * sum(SIMILAR) >= (F.col("n_x") + F.col("n_y")) * SIMILAR[0]
+    return others.join(every, "key").filter("root_x <> root_y and (is_main or x < y)").filter(enough)
 
 
 def near_components(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -160,40 +217,29 @@ def near_components(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     sketches = stored(texts.mapInArrow(_sketch(shingle), "node long, fp long, keys array<long>").dropDuplicates(["node"]), "sketches")
     keys = sketches.select("node", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
-    bands = stored(keys.join(shared, "key"), "shared")
+    bands = stored(keys.join(stored(shared, "keys"), "key"), "shared")
     first = stored(_pairs(_by_fingerprint(sketches.select("node", "fp"))), "pairs")
     wanted = bands.select("node").unionByName(first.select(F.col("u").alias("node"))).unionByName(first.select(F.col("v").alias("node"))).distinct()
     # Equal texts become one row in each task before the shuffle: a large group of copies isn't dealt to one task.
     wanted = texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
-    sets = stored(wanted.mapInArrow(_sets(shingle), "node long, n long, shingles binary"), "sets")
+    sets = stored(wanted.mapInArrow(_sets(shingle), "node long, n long, parity binary, shingles binary"), "sets")
     found = stored(_linked(first, sets), "links")
-    judged, known = first, stored(components(found), "components")
-    for turn in range(ROUNDS + 1):
+    judged, known, linked = first, stored(components(found), "components"), 0
+    turn, last = 0, ROUNDS == 0
+    while True:
         bands = _unsettled(bands, known)
-        if turn < ROUNDS:
-            # Those with most links so far come first: the text that a group of copies was made from has most.
-            links_of = found.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg((-F.count(F.lit(1))).alias("links"))
-            drawn = F.struct(F.coalesce("links", F.lit(0)), F.xxhash64("node", F.lit(turn)), "node", "root")
-            held = bands.join(links_of, "node", "left").groupBy("key").agg(F.min(drawn).alias("k")).select("key", F.col("k.node").alias("y"), F.col("k.root").alias("root_y"))
-            met = bands.withColumnRenamed("node", "x").join(held, "key").filter("root <> root_y")
-        else:
-            both = _unsettled(_prefixes(sets.join(bands.select("node").distinct(), "node", "left_semi")), known)
-            # The largest part of those that share a shingle is held against the others, not against itself.
-            parts = both.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
-            main = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-            told = stored(both.join(main, "key").withColumn("is_main", F.col("root") == F.col("main")).drop("main"), "parts")
-            others = told.filter("not is_main").select("key", F.col("node").alias("x"), F.col("root").alias("root_x"), F.col("n").alias("n_x"), F.col("bound").alias("bound_x"))
-            every = told.select("key", F.col("node").alias("y"), F.col("root").alias("root_y"), F.col("n").alias("n_y"), F.col("bound").alias("bound_y"), "is_main")
-            enough = F.least("bound_x", "bound_y") * sum(SIMILAR) >= (F.col("n_x") + F.col("n_y")) * SIMILAR[0]
-            met = others.join(every, "key").filter("root_x <> root_y and (is_main or x < y)").filter(enough)
-        bands = bands.drop("root")
+        met = _by_prefixes(bands, sets, known) if last else _by_spokesmen(bands, found, turn)
+        bands, turn = bands.drop("root"), turn + 1
         pairs = stored(_pairs(met).join(judged, ["u", "v"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        judged = judged.unionByName(pairs)
-        found = found.unionByName(stored(_linked(pairs, sets), "links"))
-        known = stored(components(found), "components")
-    return known
+        tried = pairs.count()
+        if tried:
+            new = stored(_linked(pairs, sets), "links")
+            linked = new.count()
+            judged, found = judged.unionByName(pairs), found.unionByName(new)
+            known = stored(components(found), "components") if linked else known
+        if last:
+            return known
+        last = turn == ROUNDS or not tried or linked * YIELD <= tried
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:

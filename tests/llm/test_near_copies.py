@@ -54,7 +54,7 @@ def corpus(seed):
 
 
 def test_matches_brute_force(spark, monkeypatch):
-    for seed, rounds in ((1, 3), (2, 0)):
+    for seed, rounds in ((1, 5), (2, 0)):
         monkeypatch.setattr(near_copies, "ROUNDS", rounds)
         rows = corpus(seed)
         want, pairs = brute(rows)
@@ -69,3 +69,42 @@ def test_nothing_alike(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l")], "doc_id long, text string")
     assert near_copies.survivors(docs).count() == 2
     assert near_copies.survivors(docs.limit(0)).count() == 0
+
+
+def pooled(n, seed=5):
+    """Texts that each take 20 of 25 shared paragraphs: nearly all share bands, few are similar, no shingle is a text's own."""
+    rng = random.Random(seed)
+    pool = [" ".join(f"w{rng.randrange(5000)}" for _ in range(40)) for _ in range(25)]
+    return [(i, "\n".join(pool[k] for k in sorted(rng.sample(range(25), 20)))) for i in range(n)]
+
+
+def test_shared_paragraphs_do_not_make_all_pairs(spark, monkeypatch):
+    tried, real = [], near_copies._linked
+    monkeypatch.setattr(near_copies, "_linked", lambda pairs, sets: (tried.append(pairs.count()), real(pairs, sets))[1])
+    counts = []
+    for n in (200, 400):
+        tried.clear()
+        rows = pooled(n)
+        want, pairs = brute(rows)
+        assert pairs > n / 2 and len(want) < n
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(r.doc_id for r in near_copies.survivors(docs).collect()) == [r[0] for r in want]
+        counts.append(sum(tried))
+    assert counts[1] < 2.5 * counts[0] and counts[1] < 400 * 399 / 2 * 0.4
+
+
+def test_parities_bound_the_difference():
+    rng = near_copies.np.random.default_rng(3)
+    for _ in range(200):
+        every = near_copies.np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 3000)), dtype=near_copies.np.uint64))
+        a, b = (near_copies.np.sort(every[rng.random(len(every)) < share]) for share in (0.9, rng.choice([0.2, 0.9])))
+        if len(a) and len(b):
+            assert near_copies.odds(near_copies.parities(a), near_copies.parities(b)) <= len(near_copies.np.setxor1d(a, b))
+
+
+def test_a_band_that_many_texts_share(spark):
+    """A third of the rows are one text, another third nearly so."""
+    words = [f"v{i}" for i in range(200)]
+    rows = [(i, " ".join(words)) for i in range(300)] + [(300 + i, " ".join([*words[:190], f"x{i}"])) for i in range(300)] + [(600 + i, " ".join(f"{i}_{k}" for k in range(20))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_copies.survivors(docs).collect()) == [0, *range(600, 900)]

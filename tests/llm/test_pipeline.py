@@ -10,6 +10,8 @@ from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline  # noqa: E402
+from test_near_copies import brute as near_brute  # noqa: E402
+from test_near_copies import shingles  # noqa: E402
 from test_op7_simhash import brute_fp  # noqa: E402
 from test_op10_decontamination import brute as leaks  # noqa: E402
 from test_repeats import brute_words  # noqa: E402
@@ -34,6 +36,10 @@ def corpus():
         rows.append((i, text, "en", f"src{i % 3}"))
         labels.append((i, int(kind < 0.75), 0))
     rows += [(200 + i, rows[i][1], "en", "copy") for i in range(12)]
+    for i, r in enumerate([r for r in rows if len(r[1].split()) > 70 and "|" not in r[1] and "again" not in r[1]][:20]):
+        words = r[1].split()
+        words[30 : 31 + i % 2] = ["riverbank"] * (1 + i % 2)  # similar by five-word shingles, further apart than three bits
+        rows.append((400 + i, " ".join(words), "en", "edited"))
     rows += [(300, None, None, None), (None, rows[3][1], "en", "x"), rows[5], rows[5], (301, "", "en", "x")]
     return [(*r, len(r[1] or "")) for r in rows], labels, items
 
@@ -54,18 +60,10 @@ def test_run_matches_brute_force(spark):
     got = stages["quality"](spark, docs, folder)
     assert got.schema == docs.schema and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, left))
 
-    left.sort(key=lambda r: (r[0] is None, r[0] or 0))
-    prints, one = [], []
-    parent = {}
-    for i, r in enumerate(left):
-        fp = brute_fp(r[1])
-        near = [k for k, (f, _) in enumerate(prints) if (f ^ fp).bit_count() <= 3]
-        prints.append((fp, i))
-        parent[i] = i
-        roots = {find(parent, k) for k in near} | {i}
-        for x in roots:
-            parent[x] = min(roots)
-    one = [r for i, r in enumerate(left) if find(parent, i) == i]
+    one, pairs = near_brute(left)
+    sets = [(shingles(r[1]), brute_fp(r[1])) for r in left]
+    far = [(x ^ y).bit_count() for i, (a, x) in enumerate(sets) for b, y in sets[:i] if 5 * len(a & b) >= 4 * len(a | b)]
+    assert pairs > 15 and sum(4 <= bits <= 18 for bits in far) > 5
     near = stages["near_duplicates"](spark, got, folder)
     assert near.columns == docs.columns and sorted(map(repr, map(tuple, near.collect()))) == sorted(map(repr, one))
 
@@ -90,12 +88,6 @@ def test_run_matches_brute_force(spark):
     assert {r.doc_id: list(r.ids) for r in out.collect()} == want
 
 
-def find(parent, x):
-    while parent[x] != x:
-        x = parent[x]
-    return x
-
-
 def test_extra_and_missing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c " * 20, "x", 1, "r"), (2, None, None, None, None)], "doc_id long, text string, rest string, d int, `odd name.x` string")
     folder = tempfile.mkdtemp(prefix="spark-")
@@ -105,3 +97,19 @@ def test_extra_and_missing_columns(spark):
         docs = stage(spark, docs, folder)
         assert docs.columns == ["doc_id", "text", "rest", "d", "odd name.x"]
     assert docs.count() == 2
+
+
+def test_empty_tables(spark):
+    folder = tempfile.mkdtemp(prefix="spark-")
+    frames = {
+        "documents": pd.DataFrame({"doc_id": [1], "text": ["a b c"], "lang": ["en"], "source": ["s"], "n_chars": [5]}),
+        "labels": pd.DataFrame({"doc_id": [1], "quality": [1], "toxic": [0]}),
+        "benchmark": pd.DataFrame({"item_id": [1], "text": ["none of these"]}),
+    }
+    for name, frame in frames.items():
+        frame.iloc[:0].astype(frame.dtypes).to_parquet(f"{folder}/{name}.parquet")
+    docs = spark.createDataFrame([(1, "a b c " * 20, "en", "s", 120), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() == 2, name
