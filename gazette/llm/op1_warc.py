@@ -162,7 +162,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "n")).alias("first")
     firsts = counted.groupBy("sha").agg(first, F.sum("n").alias("total")).filter("total > 1").drop("total")
     later = F.coalesce(F.col("page_id") != F.col("first.page_id"), F.col("first.page_id").isNotNull())
-    later = counted.join(firsts, "sha").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.when(later, F.col("first.page_id")).alias("refers_to"), (F.col("n") > 1).alias("several"), (F.col("first.n") == 1).alias("named"))
+    # Written first: a join with an aggregate can't split a payload that many pages have, a join with a table can.
+    later = counted.join(stored(firsts, "firsts"), "sha").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), F.when(later, F.col("first.page_id")).alias("refers_to"), (F.col("n") > 1).alias("several"), (F.col("first.n") == 1).alias("named"))
     later = later.filter("refers_to is not null or several")
     marked = rows.join(later, rows["page_id"].eqNullSafe(later["p"]) & (F.sha1(rows["payload"]) == later["s"]), "left").drop("p", "s")
     return stored(marked.mapInArrow(_write(folder, segment, chunk, archive), "path string, bytes long"), "manifest")
