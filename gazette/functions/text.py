@@ -6,11 +6,13 @@ import re
 from collections.abc import Callable
 from unicodedata import normalize
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: A letter, digit or underscore of any script.
 WORD = r"\p{L}\p{N}_"
@@ -32,9 +34,29 @@ def in_pieces(texts: pa.Array, work: Callable[[list], pa.Array]) -> pa.Array:
     return pa.concat_arrays([work(texts.slice(at, rows).to_pylist()) for at in range(0, max(1, len(texts)), rows)])
 
 
+def _normal(text: pa.Array) -> pa.Array:
+    if pc.all(pc.string_is_ascii(text)).as_py() is not False:
+        return text
+    return in_pieces(text, lambda own: pa.array([x if x is None or x.isascii() else normalize("NFKC", x) for x in own], pa.string()))
+
+
 @arrow_udf(StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    return in_pieces(text, lambda own: pa.array([x if x is None or x.isascii() else normalize("NFKC", x) for x in own], pa.string()))
+    return _normal(text)
+
+
+#: White space as the JVM's patterns have it, for Arrow's.
+_SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@arrow_udf(ArrayType(StringType()))
+def clean_each(lists: pa.Array) -> pa.Array:
+    """``clean`` of every element, as one column for a row of cells."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+    cells = pc.replace_substring_regex(pc.fill_null(_normal(lists.flatten()), ""), r"[\x{200b}-\x{200f}]", "")
+    cells = pc.utf8_trim(pc.replace_substring_regex(cells, _SPACE, " "), " ")
+    return pa.ListArray.from_arrays(offsets, cells, mask=pc.is_null(lists))
 
 
 #: One table for each code point: digits, letter forms, marks and zero-width marks; and for ASCII texts lower case and separators at once.
@@ -44,13 +66,14 @@ _RARE = re.compile("[" + "".join(map(chr, _FOLDED)) + "]")
 _APART = re.compile(f"[^\\w{ARABIC}%./+-]+")
 
 
-def folded(x: str | None) -> str:
+def folded(x: str | None, normalise: bool = True) -> str:
     """``fold`` of one value."""
     if not x:
         return ""
     if x.isascii():
         return " ".join(x.translate(_PLAIN).split())
-    x = normalize("NFKC", x)
+    if normalise:
+        x = normalize("NFKC", x)
     x = (x.translate(_FOLDED) if _RARE.search(x) else x).lower()
     return " ".join(_APART.sub(" ", x).split())
 
