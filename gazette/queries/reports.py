@@ -9,6 +9,7 @@ from gazette.operators import forecast, planning, resolve, tracker
 from gazette.operators.contains import contains_join
 from gazette.plans.params import ScreenParams
 from gazette.queries import query
+from gazette.sources.settled import settled
 from gazette.sources.views import AS_OF, items, read, tenders, with_views
 
 P = ScreenParams()
@@ -205,15 +206,15 @@ _PROOF = """, q AS (SELECT lower(product_name) AS subject, tender_number, issuin
 proof AS (SELECT DISTINCT subject, 'tender' AS kind, tender_number AS value FROM q UNION ALL SELECT DISTINCT subject, 'authority', authority FROM q UNION ALL SELECT DISTINCT subject, 'day', CAST(day AS VARCHAR) FROM q)"""
 
 
-def _proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tenders(spark, sf_dir).select("id", "tender_number", F.col("issuing_authority").alias("authority"), F.col("publication_date").alias("day"))
     i = items(spark, sf_dir).select("tender_id", F.lower("product_name").alias("subject"))
-    return forecast.evidence(i.join(t, i.tender_id == t.id))
+    return settled(i.join(t, i.tender_id == t.id).select("subject", "tender_number", "authority", "day"), "asked")
 
 
 @query(with_views(_PROOF + " SELECT * FROM proof WHERE value IS NOT NULL"))
 def r04_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _proof(spark, sf_dir)
+    return forecast.evidence(_asked(spark, sf_dir))
 
 
 @query(with_views(_HISTORY + _CYCLE + _PROOF + """, z AS (SELECT subject, concat('{"tenders":', count(*) FILTER (WHERE kind = 'tender'), ',"authorities":', count(*) FILTER (WHERE kind = 'authority'), ',"days":', count(*) FILTER (WHERE kind = 'day'),
@@ -223,7 +224,7 @@ UNION ALL SELECT 'run 1', subject, 'frequency', concat(cycle_days, ' days'), con
 def r04_saved_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rhythms of products with their evidence, as a run saves them."""
     h = _histories(spark, sf_dir)
-    return forecast.saved(forecast.cycle_forecasts(h.select("subject", "day")), _proof(spark, sf_dir), "run 1")
+    return forecast.saved(forecast.cycle_forecasts(h.select("subject", "day")), forecast.evidence(_asked(spark, sf_dir)), "run 1")
 
 
 _LISTED = "SELECT p_partkey AS k, concat('Principal ', p_partkey % 13, CASE WHEN p_partkey % 2 = 0 THEN concat(', Principal ', p_partkey % 120) ELSE '' END) AS principals FROM part"
