@@ -9,7 +9,7 @@ from gazette.operators import forecast, planning, resolve, tracker
 from gazette.operators.contains import contains_join
 from gazette.plans.params import ScreenParams
 from gazette.queries import query
-from gazette.sources.settled import settled
+from gazette.sources.settled import dealt, settled
 from gazette.sources.views import AS_OF, items, read, tenders, with_views
 
 P = ScreenParams()
@@ -223,8 +223,9 @@ SELECT 'run 1' AS run_id, subject, 'expected_next' AS metric, CAST(expected_next
 UNION ALL SELECT 'run 1', subject, 'frequency', concat(cycle_days, ' days'), confidence, evidence FROM cycles JOIN z USING (subject) WHERE cycle_days IS NOT NULL"""))
 def r04_saved_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rhythms of products with their evidence, as a run saves them."""
-    h = _histories(spark, sf_dir)
-    return forecast.saved(forecast.cycle_forecasts(h.select("subject", "day")), forecast.evidence(_asked(spark, sf_dir)), "run 1")
+    asked = _asked(spark, sf_dir)
+    dated = dealt(asked.select("subject", "day"), asked.count(), "subject")
+    return forecast.saved(forecast.cycle_forecasts(dated), forecast.evidence(asked), "run 1")
 
 
 _LISTED = "SELECT p_partkey AS k, concat('Principal ', p_partkey % 13, CASE WHEN p_partkey % 2 = 0 THEN concat(', Principal ', p_partkey % 120) ELSE '' END) AS principals FROM part"
