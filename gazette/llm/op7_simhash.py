@@ -201,7 +201,8 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     held = fp.mapInArrow(_keys(0), "key long, fp long").withColumnRenamed("fp", "u")
     asked = fp.mapInArrow(_keys(1), "key long, fp long").withColumnRenamed("fp", "v")
     near = (F.col("v") < F.col("u")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= bits)
-    return held.join(asked, (held["key"] == asked["key"]) & near).select("u", "v").distinct()
+    # Spark takes a fingerprint for one row of keys, but it has twelve on one side and sixty on the other: neither side may be broadcast.
+    return held.hint("merge").join(asked.hint("merge"), (held["key"] == asked["key"]) & near).select("u", "v").distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:

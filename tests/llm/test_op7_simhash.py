@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from gazette.llm.common import stored
 from gazette.llm.components import components
 from gazette.llm.kernels import xxh64_slices
 from gazette.llm.op7_simhash import golay, keys_of, links, simhash_components
@@ -95,3 +96,17 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash_components(docs).count() == 0
     assert links(spark.createDataFrame([(1,), (3,), (64 + 128,)], "fp long")).count() == 2
+
+
+def test_keys_are_never_broadcast(spark):
+    nodes = spark.createDataFrame([(i * 1_000_003,) for i in range(500)], "fp long")
+    for threshold in ("10m", "-1"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            found = links(stored(nodes, "nodes"))
+            found.collect()
+            plan = found._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
